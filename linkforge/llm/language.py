@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from linkforge.llm.common import read_table
 
 #: Documents in the training sample, and the longest that enters it.
-SAMPLE, SAMPLE_CHARS = 2400, 200_000
+SAMPLE, SAMPLE_CHARS = 1200, 200_000
 BITS = 15
-BUCKETS, DIM, EPOCHS, RATE = 1 << BITS, 16, 4, 0.5
+BUCKETS, DIM, EPOCHS, RATE = 1 << BITS, 16, 3, 0.5
 #: The share of good calibration texts that may be rejected, and the highest threshold it may lead to.
 REJECT, MOST_THRESHOLD = 0.0005, 0.4
 #: Lengths of the character n-grams, and the code points hashed at a time.
