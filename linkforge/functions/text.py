@@ -1,0 +1,168 @@
+"""Text scalars: folding, normal forms, tokens, numbers and keys.
+
+Only Unicode folding leaves the JVM (an Arrow UDF over distinct work columns); the rest are built-in expressions.
+Missing values are the empty string throughout.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from linkforge.functions import dictionaries as D
+
+WORD_CLASS = r"[^\p{L}\p{N}_]+"
+
+
+def _plain(s: str | None) -> str:
+    s = s or ""
+    return s.lower() if s.isascii() else unicodedata.normalize("NFKC", s).casefold()
+
+
+def _accents(s: str | None) -> str:
+    s = s or ""
+    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def _folded(s: str | None) -> str:
+    s = s or ""
+    return s.lower() if s.isascii() else _accents(unicodedata.normalize("NFKC", s)).casefold()
+
+
+def _script(s: str | None) -> str:
+    letters = [c for c in s or "" if c.isalpha()]
+    if not letters:
+        return "no_letters"
+    return "latin" if all("LATIN" in unicodedata.name(c, "") for c in letters) else "non_latin"
+
+
+@F.pandas_udf("string")
+def nfkc_casefold(s: pd.Series) -> pd.Series:
+    return s.map(_plain)
+
+
+@F.pandas_udf("string")
+def accent_fold(s: pd.Series) -> pd.Series:
+    return s.map(_accents)
+
+
+@F.pandas_udf("string")
+def fold(s: pd.Series) -> pd.Series:
+    return s.map(_folded)
+
+
+@F.pandas_udf("string")
+def script_class(s: pd.Series) -> pd.Series:
+    return s.map(_script)
+
+
+def words(text: Column) -> Column:
+    """Tokens between spaces, empties dropped."""
+    return F.filter(F.split(text, " "), lambda t: t != "")
+
+
+def rewrite(text: Column, table: dict[str, str]) -> Column:
+    """Each token replaced by the table's entry, if it has one."""
+    entries = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    return F.array_join(F.transform(words(text), lambda t: F.coalesce(F.try_element_at(entries, t), t)), " ")
+
+
+def _squash(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"&", " and "), WORD_CLASS, " "))
+
+
+def name_form(folded: Column) -> Column:
+    """norm_name of folded text: domain endings and punctuation dropped, legal forms spelled out."""
+    bare = F.regexp_replace(folded, rf"\.(?:{'|'.join(D.DOMAINS)})(?![\p{{L}}\p{{N}}_])", "")
+    return rewrite(_squash(bare), D.LEGAL)
+
+
+def addr_form(folded: Column) -> Column:
+    return rewrite(_squash(folded), D.LEGAL | D.STREET)
+
+
+def name_form_v1(plain: Column) -> Column:
+    return rewrite(_squash(plain), D.LEGAL_V1)
+
+
+def addr_form_v1(plain: Column) -> Column:
+    return rewrite(_squash(plain), D.LEGAL_V1 | D.STREET)
+
+
+def text_form_a(plain: Column, kind: str) -> Column:
+    return rewrite(_squash(plain), D.SUFFIX_A if kind == "name" else D.ADDRESS_A)
+
+
+def views_b(plain_name: Column, plain_addr: Column) -> dict[str, Column]:
+    """The four views of the second generation: basic, alphanumeric, legal name, address."""
+    basic = F.trim(F.regexp_replace(plain_name, r"\s+", " "))
+    return {"name_basic": basic, "name_alnum": _squash(plain_name), "name_legal": rewrite(_squash(plain_name), D.LEGAL_B), "addr_norm": rewrite(_squash(plain_addr), D.STREET_B)}
+
+
+def _in(t: Column, values) -> Column:
+    return t.isin(*values)
+
+
+def significant_tokens(text: Column) -> Column:
+    return F.filter(words(text), lambda t: (F.length(t) >= 2) & ~_in(t, D.STOP))
+
+
+def sig_tokens_v1(text: Column) -> Column:
+    return F.filter(words(text), lambda t: (F.length(t) >= 3) & ~_in(t, D.STOP))
+
+
+def sig_tokens(text: Column) -> Column:
+    return F.filter(words(text), lambda t: (F.length(t) >= 3) & ~_in(t, D.STOP + D.LEGAL_STOP))
+
+
+def sorted_sig(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(sig_tokens(text))), " ")
+
+
+def numeric_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), F.lit(0))
+
+
+def nums(text: Column) -> Column:
+    return F.filter(numeric_tokens(text), lambda n: F.length(n) >= 3)
+
+
+def compact(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def prefix(text: Column, n: int, at_least: int = 1) -> Column:
+    """First n characters without spaces; null below a length."""
+    c = compact(text)
+    return F.when(F.length(c) >= at_least, F.substring(c, 1, n))
+
+
+def addr_tokens(text: Column, most: int = 6) -> Column:
+    kept = F.filter(words(text), lambda t: (F.length(t) >= 4) & t.rlike(r"^\p{L}+$") & ~_in(t, D.ADDR_STOP))
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
+def country_key(plain: Column) -> Column:
+    return F.trim(plain)
+
+
+def ambiguity_bucket(n: Column) -> Column:
+    return F.when(n == 0, "0").when(n == 1, "1").when(n <= 5, "2-5").when(n <= 50, "6-50").otherwise(">50")
+
+
+def multiplicity_bucket(n: Column) -> Column:
+    return F.when(n == 1, "1").when(n <= 3, "2-3").when(n <= 5, "4-5").otherwise("6+")
+
+
+def prepare(records: DataFrame) -> DataFrame:
+    """Records with name_norm, addr_norm and country_key; raw columns stay."""
+    folded = records.withColumns({"__n": fold("business_name"), "__a": fold("business_address"), "__c": nfkc_casefold("country")})
+    return folded.withColumns({"name_norm": name_form(F.col("__n")), "addr_norm": addr_form(F.col("__a")), "country_key": country_key(F.col("__c"))}).drop("__n", "__a", "__c")
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
