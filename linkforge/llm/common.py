@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from linkforge.operators.graph import checkpointed, ensure_checkpoint_dir, min_label_components
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's, or a temporary one where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkforge-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; an executor lost later costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "map_batches", "min_label_components", "read_table", "width"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,44 +34,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             yield step(batch)
 
     return df.mapInArrow(run, schema)
-
-
-def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges(src, dst) as (node, component), component being the least node.
-
-    Large-star and small-star rounds (Kiveris et al. 2014): every node hands its neighbours to its
-    least neighbour, until the edges are stars around the least nodes. Each half-round is one
-    aggregation and one equi-join by node, so a hub is pre-aggregated and its join can be split.
-    Every round's edges are checkpointed; only counts and hash sums reach the driver. Nodes without
-    an edge to another node, null ends and loops don't appear in the result.
-    """
-    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    now = ends.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    now = checkpointed(now)
-
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        floor = down.groupBy("src").agg(F.min("dst").alias("m"))
-        small = down.join(floor, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(floor.select("src", F.col("m").alias("dst")))
-        now = checkpointed(small.filter("src <> dst").distinct())
-        after = mark(now)
-        if after == seen:
-            break
-        seen = after
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-
-
-def least_of(cols: list):
-    return reduce(lambda a, b: F.least(a, b), cols)
