@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _masks(a: str) -> dict[str, int]:
@@ -100,7 +101,7 @@ def jaro_winkler(a: str, b: str) -> float:
 def pair_udf(measure: Callable[[str, str], float], scale: float = 1.0, both_empty: float | None = None):
     """An Arrow UDF of two string columns; both_empty overrides the value of two empty strings."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}  # one batch: joins repeat pairs
         out = []

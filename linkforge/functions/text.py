@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from linkforge.functions import dictionaries as D
 
@@ -40,22 +41,22 @@ def _script(s: str | None) -> str:
     return "latin" if all("LATIN" in unicodedata.name(c, "") for c in letters) else "non_latin"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(_plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def accent_fold(s: pd.Series) -> pd.Series:
     return s.map(_accents)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     return s.map(_folded)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def script_class(s: pd.Series) -> pd.Series:
     return s.map(_script)
 
