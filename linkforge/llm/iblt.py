@@ -193,7 +193,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Descending order: part 0 holds the ids above every cut. Ties go by the text's digest, so the first of a
     # part is known by (id, digest) before texts move; there are as many as ranges.
-    place = F.struct((-F.col("id") - 1).alias("order"), F.sha2("text", 256).alias("tie"))
+    place = F.struct(F.bitwise_not("id").alias("order"), F.sha2("text", 256).alias("tie"))
     firsts = base.select(part_of.alias("part"), place.alias("place")).groupBy("part").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     if not firsts:
         return spark.createDataFrame([], SCHEMA)

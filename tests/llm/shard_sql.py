@@ -1,0 +1,30 @@
+"""The sharding query in SQL, but for the checksum, which DuckDB lacks."""
+
+from linkforge.llm.sharding import MOST_JUMPS, MULTIPLIER, SLICES
+
+
+def _jumps(shards: int) -> str:
+    """DuckDB: the shard of doc_id, by as many unrolled steps as can be needed."""
+    state = "{'k': (coalesce(doc_id, 0)::hugeint + 18446744073709551616) % 18446744073709551616, 'b': -1::hugeint, 'j': 0::hugeint}"
+    step = f"(s.k * {MULTIPLIER} + 1) % 18446744073709551616"
+    return (
+        f"list_reduce(list_transform(range(0, {min(shards, MOST_JUMPS)} + 1), lambda i: {state}), lambda s, x: CASE WHEN s.j >= {shards} THEN s ELSE "
+        f"{{'k': {step}, 'b': s.j, 'j': floor((s.j + 1)::double * 2147483648::double / ((({step}) // 8589934592) + 1)::double)::hugeint}} END)"
+    )
+
+
+OP9_SQL = f"""
+WITH r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::bigint + 1 AS size, text,
+         {_jumps(16)} AS a, {_jumps(17)} AS g
+  FROM documents
+), p AS (
+  SELECT doc_id, size, text, (CASE WHEN a.j >= 16 THEN a.b ELSE a.j END)::int AS shard,
+         (CASE WHEN g.j >= 17 THEN g.b ELSE g.j END)::int AS grown_shard
+  FROM r
+)
+SELECT doc_id, size, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ((doc_id % {SLICES}) + {SLICES}) % {SLICES}, doc_id, size)::bigint - 1 AS slot,
+       grown_shard
+FROM p
+"""
