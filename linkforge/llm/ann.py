@@ -6,8 +6,9 @@ opened next, and leaves are visited in that order. How many leaves are visited i
 a few CALIBRATE queries are found among all vectors, and the visits are widened until RECALL of them lie in visited
 leaves. Visited leaves are searched whole and exactly, with inner products in double precision of the original vectors.
 
-Leaves are searched as equi-joins by (leaf, block): a block holds BLOCK vectors at most as a rule, so a leaf that one
-common vector fills is many tasks; queries stream past it and each block returns its own best K of each.
+Leaves are packed into bins of about BIN vectors, searched as equi-joins by (bin, block); a leaf that one common
+vector fills is split into blocks of that size, so it is many tasks. Queries stream past a bin's vectors, each with the
+leaves that it visits there, and the bin returns its best K of each query: partial results grow with bins, not leaves.
 
 What takes part: a vec_id counts once (of repeated rows the least vector); null ids, null or zero vectors, vectors with
 null or non-finite components or not of the commonest length (the greater of equals) take no part. Ties go to the smaller vec_id. Fewer than K candidates are all returned.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from linkforge.llm.common import checkpointed, read_table
 
 K, EVERY = 20, 20
-SAMPLE, FAN, LEAF, BLOCK = 20_000, 16, 400, 4096
+SAMPLE, FAN, LEAF, BIN = 20_000, 16, 400, 8192
 CALIBRATE, RECALL = 96, 0.97
 
 
@@ -117,7 +118,7 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rou
         at = np.flatnonzero(rough >= floor - 1e-9 * max(1.0, abs(floor)))
     else:
         at = np.arange(len(ids))
-    at = at[ids[at] != own]
+    at = at[rough[at] > -np.inf]
     score = (vectors[at] * query).sum(axis=1)
     order = np.lexsort((ids[at], -score))[:k]
     return ids[at][order], score[order]
@@ -130,35 +131,37 @@ def _pairs(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "score"])
 
 
-def _search_blocks(k: int):
-    """For mapInArrow over rows (leaf, block, query, id, vec) sorted in this order."""
+def _search_bins(k: int, leaves: int):
+    """For mapInArrow over rows (bin, block, query, id, vec, leaves) sorted in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors = None, [], []
+        key, held = None, []
         whole: tuple | None = None
         for batch in batches:
-            leaf, block, query, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            vec = _matrix(batch.column(4))
-            keys = leaf.astype(np.int64) << 32 | block.astype(np.int64)
+            bin_, block, query, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            vec, visits = _matrix(batch.column(4)), batch.column(5)
+            keys = bin_.astype(np.int64) << 32 | block.astype(np.int64)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (query[1:] != query[:-1])) + 1).tolist(), len(keys)]
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if key != keys[a]:
-                    key, ids, vectors, whole = keys[a], [], [], None
-                if not query[a]:
-                    ids.append(row[a:b])
-                    vectors.append(vec[a:b])
+                    key, held, whole = keys[a], [], None
+                if not query[a]:  # a vector's only leaf is its own
+                    held.append((row[a:b], vec[a:b], visits.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)))
                     continue
-                if not ids:
+                if not held:
                     continue
                 if whole is None:
-                    whole = np.concatenate(ids), np.concatenate(vectors)
-                for at in range(a, b, 256):
-                    end = min(b, at + 256)
+                    whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                for at in range(a, b, 64):
+                    end = min(b, at + 64)
                     rough = vec[at:end] @ whole[1].T
-                    found += [(int(row[at + i]), *_best(vec[at + i], int(row[at + i]), *whole, rough[i], k)) for i in range(end - at)]
+                    for i in range(end - at):
+                        opened = np.zeros(leaves, bool)
+                        opened[visits[at + i].as_py()] = True
+                        found.append((int(row[at + i]), *_best(vec[at + i], int(row[at + i]), whole[0], whole[1], np.where(opened[whole[2]], rough[i], -np.inf), k)))
             if found:
                 yield _pairs(found)
 
@@ -205,13 +208,17 @@ def search(table: DataFrame, queries, k: int = K, recall: float = RECALL) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "leaves"])
 
     # One row for each leaf of the tree, whose size the sample bounds.
-    sizes = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")))
-    homes = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.lit(0).alias("query"), F.col("vec_id").alias("id"), "vec")
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("leaf")) - F.col("n")
+    sizes = F.broadcast(sizes.select("leaf", F.floor(before / BIN).cast("int").alias("bin"), F.ceil(F.col("n") / BIN).cast("int").alias("blocks")))
+    homes = placed.join(sizes, "leaf").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.lit(0).alias("query"), F.col("vec_id").alias("id"), "vec", F.array("leaf").alias("leaves"))
     asked = placed.filter(queries(F.col("vec_id"))).select("vec_id", "vec").mapInArrow(visit, "id long, vec array<double>, leaves array<int>")
+    # A query goes to a bin once, with all the leaves that it visits there.
     asked = asked.select("id", "vec", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "id", "vec")
-    rows = homes.unionByName(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query")
-    pairs = rows.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score double")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "bin", "id", "vec", "leaf").groupBy("bin", "block", "id").agg(F.any_value("vec").alias("vec"), F.collect_list("leaf").alias("leaves"))
+    asked = asked.select("bin", "block", F.lit(1).alias("query"), "id", "vec", "leaves")
+    rows = homes.unionByName(asked).repartition("bin", "block").sortWithinPartitions("bin", "block", "query")
+    pairs = rows.mapInArrow(_search_bins(k, tree.leaves), "query_id long, vec_id long, score double")
     return _top(pairs, k).select("query_id", "rank", "vec_id", "score")
 
 
