@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -49,9 +50,13 @@ class Bpe:
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.rank: dict[bytes, int] = {}
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.pair = {(to_bytes(a), to_bytes(b)): r for r, (a, b) in enumerate(merges)}
+        # The same ranks by what is joined and where it is parted, and those of single bytes as a table.
+        self.joined: dict[bytes, dict[int, int]] = {}
+        for (a, b), r in self.pair.items():
+            self.joined.setdefault(a + b, {})[len(a)] = r
+        self.of_bytes = [[self.pair.get((bytes([a]), bytes([b])), FAR) for b in range(256)] for a in range(256)]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.words = regex.compile(PATTERN)
@@ -59,25 +64,25 @@ class Bpe:
 
     def parts(self, word: bytes) -> list[int]:
         """Ids of one word."""
-        if (whole := self.ids.get(word)) is not None and len(word) == 1:
-            return [whole]
         bounds = self._scan(word) if len(word) <= SHORT else self._heap(word)
-        return [self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+        ids = self.ids
+        return [ids[word[a:b]] for a, b in zip(bounds, bounds[1:])]  # noqa: B905
 
     def _scan(self, word: bytes) -> list[int]:
-        pair = self.pair
+        joined, of_bytes = self.joined, self.of_bytes
         bounds = list(range(len(word) + 1))
-        ranks = [pair.get((word[i : i + 1], word[i + 1 : i + 2]), FAR) for i in range(len(word) - 1)]
-        while ranks:
-            least = min(ranks)
-            if least == FAR:
-                break
+        ranks = [of_bytes[a][b] for a, b in zip(word, word[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) != FAR:
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
+            start, end = bounds[i], bounds[i + 1]
             if i < len(ranks):
-                ranks[i] = pair.get((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), FAR)
+                split = joined.get(word[start : bounds[i + 2]])
+                ranks[i] = split.get(end - start, FAR) if split else FAR
             if i:
-                ranks[i - 1] = pair.get((word[bounds[i - 1] : bounds[i]], word[bounds[i] : bounds[i + 1]]), FAR)
+                before = bounds[i - 1]
+                split = joined.get(word[before:end])
+                ranks[i - 1] = split.get(start - before, FAR) if split else FAR
         return bounds
 
     def _heap(self, word: bytes) -> list[int]:
@@ -129,10 +134,11 @@ class _Words(dict):
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
         self.bpe = bpe
+        self.digits = {i: str(i) for i in bpe.bytes_of}
 
     def __missing__(self, word) -> tuple[bytes, str, bytes]:
         ids = [word] if isinstance(word, int) else self.bpe.parts(word.encode())
-        entry = np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), b"".join(self.bpe.bytes_of[i] for i in ids)
+        entry = array("i", ids).tobytes(), ",".join([self.digits[i] for i in ids]), b"".join([self.bpe.bytes_of[i] for i in ids])
         if len(self) >= CACHE:
             self.clear()
         self[word] = entry
