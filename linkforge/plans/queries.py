@@ -53,7 +53,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 def _cands(variant: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         s1, t, _ = _sides(spark, d)
-        return R.candidates(s1, t, R.VARIANTS[variant]).select("s1", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+        return R.candidates(s1, t, R.VARIANTS[variant]).select("s1", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     return run
 

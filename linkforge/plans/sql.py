@@ -136,7 +136,7 @@ inter AS (SELECT s1, id FROM sets JOIN kept ON kept.route = 'token' AND kept.key
 {_final(_HITS + " UNION ALL SELECT s1, id, 4.0::double, ['tok_intersect'] FROM inter", 0.55, cap)}"""
 
 
-_RANKED = "SELECT s1, id, round(score, 6) AS score, rank FROM c"
+_RANKED = "SELECT s1, id, score, rank FROM c"
 _ALL = ("numtok", "numnum", "cpre8")
 _JAC = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0::double ELSE len(list_intersect(list_distinct({a}), list_distinct({b})))::double / len(list_distinct(list_concat({a}, {b}))) END"
 _OVERLAP = f"CASE WHEN len(a.ns) > 0 AND len(b.ns) > 0 THEN {_JAC('a.ns', 'b.ns')} ELSE 0.0::double END"

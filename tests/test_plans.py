@@ -5,11 +5,11 @@ import pytest
 
 from linkforge.plans import queries as P
 
-CHECKED = ["norm_name", "norm_addr", "norm_a", "sig_tokens", "addr_tokens", "postings_v2", "postings_pair", "postings_aux", "token_df", "bucket_limit_balanced", "cands_v1", "cands_v4all", "jaro_winkler", "gate_relative", "accept_rules", "evaluate_macro", "candidate_diag", "slices", "eda_fields", "components", "id_lists", "validate_outputs"]
+CHECKED = sorted(P.ORACLE_SQL)
 
 
 def _rows(frame, cols):
-    return sorted(tuple("" if v is None or v != v else round(float(v), 5) if isinstance(v, int | float) or hasattr(v, "dtype") else v for v in r) for r in frame[cols].itertuples(index=False))
+    return sorted(tuple("" if v is None or v != v else round(float(v), 9) if isinstance(v, int | float) or hasattr(v, "dtype") else v for v in r) for r in frame[cols].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", CHECKED)
