@@ -13,7 +13,7 @@ of a cell (BLOCK fingerprints at most, larger cells are split) and streams the r
 forest, never all pairs, so that large groups stay linear.
 
 near_duplicates() is for a similarity threshold, where the radius is too wide for population counts to part
-anything (0.8 on five words is 10 of 64 bits on average and 20 at worst). There min-hash bands choose which
+anything (0.8 on five words is 10 of 64 bits on average, 24 at worst). There min-hash bands choose which
 tiles meet; inside them the fingerprints are compared in the same way, and each remaining link is verified by
 the exact Jaccard similarity of the whole texts' shingles.
 """
@@ -204,7 +204,7 @@ GROUP_BLOCK = 1024
 
 
 def _sketch(shingle: int, bands: int, rows: int):
-    """A task's step: doc_id, digest of the words, fingerprint and one min-hash key for each band."""
+    """A task's step: doc_id, digest of the words and one min-hash key for each band."""
     draw = np.random.default_rng(20240229)
     mult = draw.integers(1, 1 << 63, size=(bands * rows, 1), dtype=np.uint64) | np.uint64(1)
     add = draw.integers(0, 1 << 63, size=(bands * rows, 1), dtype=np.uint64)
@@ -217,15 +217,14 @@ def _sketch(shingle: int, bands: int, rows: int):
         return [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, fps, bandkeys = [], [], []
+        digests, bandkeys = [], []
         for t in batch.column(1):
             text = t.as_py() or ""
             digests.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8").lower().split())))
             hashes = shingle_hashes(text, shingle)
-            fps.append(fingerprint(hashes))
             bandkeys.append(keys(hashes) if len(hashes) else [])
-        arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(bandkeys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "fp", "keys"])
+        arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(bandkeys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "keys"])
 
     return step
 
@@ -257,8 +256,9 @@ def _verify_groups(shingle: int, similarity: float, radius: int):
                 if key != (grp, i, j):
                     key, forest, nodes, sets, first = (grp, i, j), Forest(), [], [], 0
                     fps = np.empty(2 * GROUP_BLOCK, dtype=np.uint64)
-                hashes = shingle_hashes(batch.column(5)[at].as_py(), shingle)
-                mine, fp = np.unique(hashes), np.int64(fingerprint(hashes)).astype(np.uint64)
+                # The similarity is of sets, so the fingerprint is too: repeated lines would pull it away.
+                mine = np.unique(shingle_hashes(batch.column(5)[at].as_py(), shingle))
+                fp = np.int64(fingerprint(mine)).astype(np.uint64)
                 against = first if side else len(nodes)
                 apart = np.bitwise_count(fps[:against] ^ fp)
                 close = np.flatnonzero(apart <= radius)
@@ -279,19 +279,19 @@ def _verify_groups(shingle: int, similarity: float, radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 28, rows: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 28, rows: int = 7) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): groups of like texts.
 
     Texts whose words are the same after lower-casing are copies. Other texts are linked if their sets of
     shingles have at least this Jaccard similarity; a group is what links connect. `rows` equal minima in one
     of `bands` bands bring two texts together (missed at 0.8: one pair in 700, less above), fingerprints
-    farther apart than `radius` part them again (0.8 means 10 bits of 64, with a deviation of 3), and the
-    exact similarity decides. Texts without words are copies of each other.
+    of their distinct shingles farther apart than `radius` part them again (0.8 means 10 bits of 64, with a deviation
+    of 3, so that 24 is five deviations off), and the exact similarity decides. Texts without words are copies of each other.
 
     A group that copies or chains make large is cut into blocks; each pair of blocks is one task's work and
     yields a forest of verified links, so no task holds more than two blocks and no link is lost.
     """
-    sketch = checkpointed(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: _sketch(shingle, bands, rows), "doc_id long, digest binary, fp long, keys array<long>"))
+    sketch = checkpointed(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: _sketch(shingle, bands, rows), "doc_id long, digest binary, keys array<long>"))
     reps = sketch.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     keyed = checkpointed(reps.select("node", F.explode("keys").alias("key")))
     least = keyed.groupBy("key").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

@@ -226,3 +226,16 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         read = spark.read.parquet(str(tmp_path / name))
         assert read.columns == cols
     assert corpus_pipeline.STAGES[-1][1](spark, read, sf).count() == read.count()
+
+
+def test_repeated_lines_do_not_part_near_copies(spark):
+    """The similarity is of sets of shingles: a line that one copy repeats often changes nothing."""
+    words = [f"w{k}" for k in range(200)]
+    line = " ".join(f"chorus{k}" for k in range(5))
+    once, often = " ".join([*words, line]), " ".join([*words, *[line] * 200])
+    other = " ".join(f"v{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, once), (2, often), (3, other)], "doc_id long, text string")
+    a, b = (simhash.shingle_hashes(t, 5) for t in (once, often))
+    apart = np.bitwise_count(np.uint64(simhash.fingerprint(a) % (1 << 64)) ^ np.uint64(simhash.fingerprint(b) % (1 << 64)))
+    assert simhash._similar(np.unique(a), np.unique(b), 0.8) and apart > 24
+    assert {(r[0], r[1]) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
