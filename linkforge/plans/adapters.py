@@ -38,6 +38,6 @@ def truth(rows: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unicode records: a document's first 60 characters as name, its language as country."""
+    """Unicode records: a document's whole text as name, its language as country."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").cast("string").alias("entity_id"), F.substring("text", 1, 60).alias("business_name"), F.lit("").alias("business_address"), F.coalesce("lang", F.lit("")).alias("country"))
+    return docs.select(F.col("doc_id").cast("string").alias("entity_id"), F.col("text").alias("business_name"), F.lit("").alias("business_address"), F.coalesce("lang", F.lit("")).alias("country"))

@@ -30,3 +30,12 @@ def test_every_sql_has_a_query():
 def test_entry_lists_each_s1_once(spark, sf):
     out = P.flagship(spark, sf)
     assert out.count() == out.select("source1_entity_id").distinct().count() > 0
+
+
+def test_unicode_norm_reads_whole_texts(spark, tmp_path):
+    rows = [(1, "Café " * 40 + "Straße", "de"), (2, "x" * 100 + " क्षेत्र", "hi"), (3, "7 " * 60, None), (4, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["entity_id"]: (r["name_norm"], r["script"]) for r in P.unicode_norm(spark, str(tmp_path)).collect()}
+    assert got["1"] == ("cafe " * 40 + "strasse", "latin")
+    assert got["2"][0].startswith("x" * 100 + " ") and got["2"][1] == "non_latin"
+    assert got["3"] == (("7 " * 60).strip(), "no_letters") and got["4"] == ("", "no_letters")
