@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkforge.functions import text as X
 from linkforge.operators import index as I
 
+#: Rows of a block of S1 and of targets that tfidf_knn holds at a time.
+QUERY_BLOCK, TARGET_BLOCK = 1024, 2048
 ROUTES = ("name", "sig", "prefix", "token", "tok_intersect", "pair", "toknum", "num", "numtok", "numnum", "cpre8")
 
 
@@ -168,14 +173,51 @@ def tfidf_knn(s1: DataFrame, targets: DataFrame, k: int = 20, low: int = 3, high
         return df.select(F.col(id_).alias("doc"), F.explode(every).alias("g")).groupBy("doc", "g").agg(F.count(F.lit(1)).alias("tf"))
 
     t, q = grams(targets, "id"), grams(s1, "s1")
-    n = targets.count()
+    n, asked = targets.count(), s1.count()
     idf = t.groupBy("g").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    # Every block of queries meets every block of targets; grams in one order make a pair's sum the same in any block.
+    i, j = -(-asked // QUERY_BLOCK) or 1, -(-n // TARGET_BLOCK) or 1
 
-    def unit(g: DataFrame) -> DataFrame:
-        w = g.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
-        return w.join(w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "doc").select("doc", "g", (F.col("w") / F.col("norm")).alias("w"))
+    def dealt(g: DataFrame, query: bool) -> DataFrame:
+        vectors = g.join(idf, "g").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("g", (F.col("tf") * F.col("idf")).alias("w")))).alias("v"))
+        own = lambda blocks: F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")
+        each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        at = [own(i).alias("i"), each(j).alias("j")] if query else [each(i).alias("i"), own(j).alias("j")]
+        return vectors.select(*at, F.lit(query).alias("query"), "doc", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
 
-    a, b = unit(q), unit(t)
-    dots = a.select(F.col("doc").alias("s1"), "g", F.col("w").alias("wa")).join(b.select(F.col("doc").alias("id"), "g", "w"), "g").groupBy("s1", "id").agg(F.round(F.sum(F.col("wa") * F.col("w")), 9).alias("similarity"))
+    near = dealt(t, False).unionByName(dealt(q, True)).groupBy("i", "j").applyInArrow(_nearest(k), "s1 string, id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("similarity"), "id"))
-    return dots.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _nearest(k: int):
+    """For applyInArrow over rows (query, doc, g, w) of a pair of blocks: each query's k nearest targets there that share a gram."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("query", "ascending"), ("doc", "ascending")]).combine_chunks()
+        docs, grams = block.column("doc").combine_chunks(), block.column("g").combine_chunks()
+        sizes = pc.list_value_length(grams).to_numpy()
+        row, code = np.repeat(np.arange(len(sizes)), sizes), grams.flatten().dictionary_encode().indices.to_numpy()
+        w = block.column("w").combine_chunks().flatten().to_numpy()
+        w = w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
+        ends = np.cumsum(sizes)
+        n = len(sizes) - pc.sum(block.column("query").cast(pa.int64())).as_py()
+        cut = ends[n - 1] if n else 0
+        row_t, code_t, w_t = row[:cut], code[:cut], w[:cut]
+        asked, found, scores = [], [], []
+        for q in range(n, len(sizes)) if n else ():
+            of = slice(ends[q] - sizes[q], ends[q])
+            own = np.zeros(code.max() + 1)
+            own[code[of]] = w[of]
+            raw = np.bincount(row_t, own[code_t] * w_t, n)
+            score = np.round(raw, 9)
+            least = np.partition(score, n - k)[n - k] if n > k else 0.0
+            at = np.flatnonzero((score >= least) & (raw > 0))
+            at = at[np.argsort(-score[at], kind="stable")[:k]]
+            asked.append(np.full(len(at), q))
+            found.append(at)
+            scores.append(score[at])
+        take = lambda x: docs.take(pa.array(np.concatenate(x) if x else [], pa.int64()))
+        return pa.table({"s1": take(asked), "id": take(found), "similarity": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+    return run

@@ -256,7 +256,7 @@ def _model(train: Callable) -> Query:
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     s1, t, _ = _sides(spark, d)
-    return R.tfidf_knn(s1, t, 5).select("s1", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return R.tfidf_knn(s1, t).select("s1", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 def unicode_norm(spark: SparkSession, d: str) -> DataFrame:

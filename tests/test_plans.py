@@ -1,8 +1,12 @@
 """Queries against their SQL on the smallest tables."""
 
+import math
+from collections import Counter
+
 import duckdb
 import pytest
 
+from linkforge.operators import retrieve as R
 from linkforge.plans import queries as P
 
 CHECKED = sorted(P.ORACLE_SQL)
@@ -39,3 +43,38 @@ def test_unicode_norm_reads_whole_texts(spark, tmp_path):
     assert got["1"] == ("cafe " * 40 + "strasse", "latin")
     assert got["2"][0].startswith("x" * 100 + " ") and got["2"][1] == "non_latin"
     assert got["3"] == (("7 " * 60).strip(), "no_letters") and got["4"] == ("", "no_letters")
+
+
+def test_tfidf_knn_equals_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(R, "TARGET_BLOCK", 30)
+    s1, t, _ = P._sides(spark, sf)
+
+    def grams(r):
+        out = Counter()
+        for w in f"{r['name_norm']} {r['addr_norm']}".split():
+            for n in (3, 4, 5):
+                if len(w) + 2 >= n:
+                    out.update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+        return out
+
+    texts = {r["id"]: grams(r) for r in t.collect()}
+    df = Counter(g for x in texts.values() for g in x)
+
+    def unit(x):
+        w = {g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in x.items() if g in df}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {g: v / norm for g, v in w.items()}
+
+    vectors = {k: unit(x) for k, x in texts.items()}
+    want = {}
+    for r in s1.collect():
+        q = unit(grams(r))
+        near = sorted((-round(sum(v * x.get(g, 0) for g, v in q.items()), 9), k) for k, x in vectors.items())
+        want[r["s1"]] = [(k, -d) for d, k in near[:20] if d]
+    got = {}
+    for r in P.tfidf(spark, sf).orderBy("s1", "rank").collect():
+        got.setdefault(r["s1"], []).append((r["id"], r["similarity"]))
+    assert max(map(len, got.values())) == 20
+    assert {k: [i for i, _ in x] for k, x in got.items()} == {k: [i for i, _ in x] for k, x in want.items()}
+    assert all(abs(a - b) < 1e-6 for k in want for (_, a), (_, b) in zip(got[k], want[k], strict=True))
