@@ -34,6 +34,7 @@ class Variant:
     per_add_country: bool = False
     rare: float | None = None  # token weight 2 / (1 + bucket / rare)
     tokens: str = "v2"
+    neighbours: int = 0  # TF-IDF nearest targets, each adding twice its similarity
     extra: tuple[str, ...] = field(default_factory=tuple)
 
 
@@ -49,7 +50,7 @@ def _v4(*routes: str) -> Variant:
 
 VARIANTS = {
     "a": Variant({"prefix": 1.0, "num": 1.5}, {"prefix": 200, "token": 200, "num": 200}, 80, 0.15, False, False, (3, 1), True, 50.0, "a"),
-    "b": Variant({"name": 5.0, "prefix": 1.0, "num": 1.8}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 60, 0.5, False, False, (3, 1), rare=40.0, tokens="a"),
+    "b": Variant({"name": 5.0, "prefix": 1.0, "num": 1.8}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 60, 0.5, False, False, (3, 1), rare=40.0, tokens="a", neighbours=20),
     "v1": Variant({"name": 5.0, "prefix": 1.0, "token": 1.5, "num": 2.0}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 50, 0.5, False, False, (3, 1), tokens="v1"),
     "v2": Variant(_V2, _V2_LIMITS, 120, 0.55, balanced=False),
     "v3a": Variant(_V2, _V2_LIMITS, 120, 0.55),
@@ -132,11 +133,16 @@ def query_keys(s1: DataFrame, v: Variant, postings: DataFrame, n: int) -> tuple[
     return out, sets
 
 
+def _with(adds: DataFrame, more: DataFrame) -> DataFrame:
+    """Additions (s1, id, w, routes) of both, summed."""
+    return adds.unionByName(more).groupBy("s1", "id").agg(F.sum("w").alias("w"), F.flatten(F.collect_list("routes")).alias("routes"))
+
+
 def candidates(s1: DataFrame, targets: DataFrame, v: Variant, cap: int | None = None, postings: DataFrame | None = None, kept: DataFrame | None = None) -> DataFrame:
     """(s1, id, score, routes, rank) of s1(s1, name_norm, addr_norm, country_key) against prepared targets.
 
     Scores are rounded to 9 digits before ranking, since sums in another order may differ in the last bit;
-    ties go to the lesser id. An s1 without keys has no rows.
+    ties go to the lesser id. An s1 without keys and neighbours has no rows.
     """
     postings = build_postings(targets, v) if postings is None else postings
     kept = limit_postings(postings, v) if kept is None else kept
@@ -146,7 +152,9 @@ def candidates(s1: DataFrame, targets: DataFrame, v: Variant, cap: int | None =
     if sets is not None:
         inside = sets.join(kept.filter("route = 'token'").select("key", "id"), "key").groupBy("s1", "id").agg(F.countDistinct("pos").alias("n"), F.max("n_sets").alias("n_sets"))
         more = inside.filter("n = n_sets").select("s1", "id", F.lit(4.0).alias("w"), F.array(F.lit("tok_intersect")).alias("routes"))
-        adds = adds.unionByName(more).groupBy("s1", "id").agg(F.sum("w").alias("w"), F.flatten(F.collect_list("routes")).alias("routes"))
+        adds = _with(adds, more)
+    if v.neighbours:
+        adds = _with(adds, tfidf_knn(s1, targets, v.neighbours).select("s1", "id", (2 * F.col("similarity")).alias("w"), F.array(F.lit("tfidf")).alias("routes")))
     known = adds.join(targets.select("id", F.col("country_key").alias("tc")), "id").join(s1.select("s1", F.col("country_key").alias("sc")), "s1")
     differ = (F.col("sc") != "") & (F.col("tc") != "") & (F.col("sc") != F.col("tc"))
     score = F.round(F.when(differ, F.col("w") * v.country).otherwise(F.col("w")), 9)

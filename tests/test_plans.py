@@ -78,3 +78,16 @@ def test_tfidf_knn_equals_brute_force(spark, sf, monkeypatch):
     assert max(map(len, got.values())) == 20
     assert {k: [i for i, _ in x] for k, x in got.items()} == {k: [i for i, _ in x] for k, x in want.items()}
     assert all(abs(a - b) < 1e-6 for k in want for (_, a), (_, b) in zip(got[k], want[k], strict=True))
+
+
+def test_variant_b_adds_tfidf_neighbours(spark):
+    cols = "s1 string, source string, ord long, name_norm string, addr_norm string, country_key string"
+    s1 = spark.createDataFrame([("S1-1", "S1", 1, "brandon bakery", "", "us")], cols)
+    rows = [("S2-1", "S2", 1, "grandon bakerey", "", "us"), ("S2-2", "S2", 2, "brandon bakery", "", "us"), ("S2-3", "S2", 3, "grandon bakerey", "", "france"), ("S2-4", "S2", 4, "zzz", "", "us")]
+    t = spark.createDataFrame(rows, cols.replace("s1 ", "id ", 1))
+    got = {r["id"]: r for r in R.candidates(s1, t, R.VARIANTS["b"]).collect()}
+    near = {r["id"]: r["similarity"] for r in R.tfidf_knn(s1, t).collect()}
+    assert set(got) == {"S2-1", "S2-2", "S2-3"} and got["S2-1"]["routes"] == ["tfidf"]
+    assert got["S2-1"]["score"] == pytest.approx(2 * near["S2-1"]) and got["S2-3"]["score"] == pytest.approx(near["S2-3"])
+    # name 5, prefix 1, two tokens of bucket 1 at 2 / (1 + 1 / 40), and the neighbour.
+    assert got["S2-2"]["score"] == pytest.approx(6 + 4 / (1 + 1 / 40) + 2 * near["S2-2"]) and near["S2-2"] == pytest.approx(1)
