@@ -225,7 +225,7 @@ def validate_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzz_features(spark: SparkSession, d: str) -> DataFrame:
     s1, t, _ = _sides(spark, d)
-    df = FT.features_43(FT.pairs(R.candidates(s1, t, R.VARIANTS["v4all"], cap=20), s1, t))
+    df = FT.features_43(FT.pairs(R.candidates(s1, t, R.VARIANTS["v4all"]), s1, t))
     return df.select("s1", "id", *FT.FEATURES_43)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from linkforge.operators import features as FT
 from linkforge.operators import retrieve as R
 from linkforge.plans import queries as P
 
@@ -45,6 +46,15 @@ def test_unicode_norm_reads_whole_texts(spark, tmp_path):
     assert got["3"] == (("7 " * 60).strip(), "no_letters") and got["4"] == ("", "no_letters")
 
 
+def test_fuzz_features_keep_the_variants_cap(spark, sf):
+    got, cap = P.fuzz_features(spark, sf), R.VARIANTS["v4all"].cap
+    want = {(r["s1"], r["id"]) for r in P.QUERIES["cands_v4all"](spark, sf).collect()}
+    rows = got.select("s1", "id", "n_cands").collect()
+    assert {(r["s1"], r["id"]) for r in rows} == want and len(rows) == len(want)
+    many = Counter(r["s1"] for r in rows)
+    assert max(many.values()) > 20 and all(round(r["n_cands"] * FT.CAP) == many[r["s1"]] for r in rows) and cap == FT.CAP
+
+
 def test_tfidf_knn_equals_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK", 20)
     monkeypatch.setattr(R, "TARGET_BLOCK", 30)
