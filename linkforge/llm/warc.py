@@ -11,7 +11,8 @@ pass over.
 salvage(): reads records one by one, plain or compressed. Each must inflate with a right checksum, begin with a version
 line, have a length that ends at a blank line, and match its digests. After a failed check the reader searches for the
 next gzip member or version line from which a record passes them all, goes on from there, and logs the bytes in
-between as a quarantined gap with the reason. Nothing else is skipped.
+between as a quarantined gap with the reason. Inside a member it goes on at the next version line in the inflated bytes;
+a member that is cut off or damaged keeps its records before that (if damaged, those with digests). Nothing else is skipped.
 
 read_archives() reads whole files as Spark's binary source gives them; an archive holds RECORDS records at most as
 written here, and one is held by a task at a time.
@@ -19,11 +20,12 @@ written here, and one is held by a task at a time.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -82,7 +84,11 @@ class Gap:
 
 
 class Unsound(ValueError):
-    """A check failed."""
+    """A check failed. kept: what a broken gzip member held before; resume: where its bytes end."""
+
+    def __init__(self, reason: str, kept: Sequence[Record | Gap] = (), resume: int = 0):
+        super().__init__(reason)
+        self.kept, self.resume = kept, resume
 
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -113,27 +119,70 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member, or the plain record, at `at`, and where it ends."""
+def _inflate(data: bytes, at: int, most: float = float("inf")) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` holds, `most` bytes of it or a little more, where that ends, and why not all of it came out."""
+    unpacker, parts, size, pos, step = zlib.decompressobj(31), [], 0, at, 1 << 16
+    while not unpacker.eof and pos < len(data) and size < most:
+        before = unpacker.copy()
+        try:
+            part = unpacker.decompress(data[pos : pos + step])
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(parts), pos, f"gzip: {e}"
+            unpacker, step = before, step // 16
+            continue
+        if size + len(part) >= most and step > 1:
+            unpacker, step = before, step // 16
+            continue
+        parts.append(part)
+        size, pos = size + len(part), min(pos + step, len(data))
+    return b"".join(parts), pos - len(unpacker.unused_data), "" if unpacker.eof else "gzip member is cut off"
+
+
+def _inside(inside: bytes) -> list[tuple[int, int, tuple[dict[str, str], bytes] | str]]:
+    """(begin, end, record or reason): the sound records of a member's bytes, and the spans between them."""
+    out, pos = [], 0
+    while pos < len(inside):
+        try:
+            headers, block, end = _parse(inside, pos)
+        except Unsound as e:
+            begin, reason, pos = pos, str(e), len(inside)
+            for m in VERSION.finditer(inside, begin + 1):
+                with contextlib.suppress(Unsound):
+                    _parse(inside, m.start())
+                    pos = m.start()
+                    break
+            out.append((begin, pos, reason))
+            continue
+        out.append((pos, end, (headers, block)))
+        pos = end
+    return out
+
+
+def _located(spans: list, at: int, length: int) -> list[Record | Gap]:
+    return [Gap(at, length, f"{x}; inflated bytes {a} to {b}") if isinstance(x, str) else Record(at, length, *x) for a, b, x in spans]
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """What the gzip member, or the plain record, at `at` holds, one sound record at least unless it is empty, and where it ends."""
     if data[at : at + 2] != b"\x1f\x8b":
         headers, block, end = _parse(data, at)
         return [Record(at, end - at, headers, block)], end
-    unpacker = zlib.decompressobj(31)
-    parts, pos = [], at
-    try:
-        while not unpacker.eof and pos < len(data):
-            parts.append(unpacker.decompress(data[pos : pos + (1 << 16)]))
-            pos += 1 << 16
-    except zlib.error as e:
-        raise Unsound(f"gzip: {e}") from e
-    if not unpacker.eof:
-        raise Unsound("gzip member is cut off")
-    end = min(pos, len(data)) - len(unpacker.unused_data)
-    inside, out, pos = b"".join(parts), [], 0
-    while pos < len(inside):
-        headers, block, pos = _parse(inside, pos)
-        out.append(Record(at, end - at, headers, block))
-    return out, end
+    inside, end, reason = _inflate(data, at)
+    spans = _inside(inside)
+    if reason:
+        # No checksum vouches for these bytes. Where they are damaged, a record's own digest must.
+        sure = [not isinstance(x, str) and (end == len(data) or x[0].get("warc-block-digest", "").startswith("sha256:")) for _, _, x in spans]
+        spans = [x if ok or isinstance(x[2], str) else (*x[:2], reason) for x, ok in zip(spans, sure, strict=True)]
+        while spans and isinstance(spans[-1][2], str):
+            spans.pop()
+        if not spans:
+            raise Unsound(reason)
+        resume = _inflate(data, at, spans[-1][1])[1]
+        raise Unsound(reason, _located(spans, at, resume - at), resume)
+    if spans and all(isinstance(x, str) for _, _, x in spans):
+        raise Unsound(spans[0][2])
+    return _located(spans, at, end - at), end
 
 
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -146,17 +195,22 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         try:
             found, end = _read_at(data, at)
         except Unsound as e:
-            begin, reason, found, end = at, str(e), [], len(data)
-            for m in START.finditer(data, at + 1):
+            yield from e.kept
+            begin, reason, found, end = max(at, e.resume), str(e), [], len(data)
+            for m in START.finditer(data, max(begin, at + 1)):
                 try:
                     found, end = _read_at(data, m.start())
-                except Unsound:
-                    continue
-                if found or m.start() + len(EMPTY_MEMBER) == end:
-                    yield Gap(begin, m.start() - begin, reason)
+                except Unsound as other:
+                    if not other.kept:
+                        continue
+                    found, end = [], m.start()  # read again as the next
+                if found or end == m.start() or m.start() + len(EMPTY_MEMBER) == end:
+                    if m.start() > begin:
+                        yield Gap(begin, m.start() - begin, reason)
                     break
             else:
-                yield Gap(begin, len(data) - begin, reason)
+                if begin < len(data):
+                    yield Gap(begin, len(data) - begin, reason)
                 return
         yield from found
         at = end

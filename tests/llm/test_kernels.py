@@ -1,6 +1,7 @@
 """Operators against brute force and libraries, without Spark."""
 
 import random
+import zlib
 
 import numpy as np
 import xxhash
@@ -76,6 +77,26 @@ def test_salvage_recovers_later_records():
     assert [type(x) for x in warc.salvage(b"junk")] == [warc.Gap] and list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members():
+    records = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(3000), "d", 0, None) for i in range(5)]
+    bad = records[1].replace(b"Content-Length: ", b"Content-Length: 9", 2)
+    name = lambda x: x.reason.split(";")[0] if isinstance(x, warc.Gap) else x.headers["warc-record-id"][10:-1]
+    length = "length does not end at the record's end"
+    whole = warc._member(records[0] + bad + b"".join(records[2:]))
+    found = list(warc.salvage(whole + warc._member(records[0])))
+    assert [name(x) for x in found] == ["0", length, "2", "3", "4", "0"] and {(x.offset, x.length) for x in found[:5]} == {(0, len(whole))}
+    assert found[1].reason.endswith(f"inflated bytes {len(records[0])} to {len(records[0] + bad)}")
+    member = warc._member(b"".join(records))
+    cut = member[: len(member) * 7 // 10]
+    found = list(warc.salvage(cut))
+    assert [name(x) for x in found] == ["0", "1", "2", "gzip member is cut off"] and found[-1].offset + found[-1].length == len(cut)
+    after = list(warc.salvage(cut + warc._member(records[4])))
+    assert [name(x) for x in after if isinstance(x, warc.Record)] == ["0", "1", "2", "4"]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)  # its records can be read in the member's own bytes too
+    plain = stored.compress(b"".join(records)) + stored.flush()
+    assert [name(x) for x in warc.salvage(b"junk" + plain[:-4]) if isinstance(x, warc.Record)] == list("01234")
+
+
 def test_tree_places_every_vector_and_visits_every_leaf():
     v = np.random.default_rng(1).normal(size=(800, 8))
     v[:300] = v[0]
