@@ -4,7 +4,7 @@ The tree is fitted on a sample of SAMPLE vectors at most and gives every vector
 bin first: a priority queue holds the nodes seen, the one whose centre has the largest inner product with the query is
 opened next, and leaves are visited in that order. How many leaves are visited is calibrated: the exact neighbours of
 a few CALIBRATE queries are found among all vectors, and the visits are widened until RECALL of them lie in visited
-leaves. Visited leaves are searched whole and exactly, with inner products in double precision of the original vectors.
+leaves. A query whose leaves hold fewer than K others visits more. Visited leaves are searched whole and exactly, with inner products in double precision of the original vectors.
 
 Leaves are packed into bins of about BIN vectors, searched as equi-joins by (bin, block); a leaf that one common
 vector fills is split into blocks of that size, so it is many tasks. Queries stream past a bin's vectors, each with the
@@ -56,15 +56,16 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first so many leaves, best bin first."""
+    def visit(self, query: np.ndarray, leaves: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first so many leaves, best bin first; more if those hold fewer than `least` vectors, by the counts in `held`."""
         out: list[int] = []
-        queue = [(0.0, 0)]
-        while queue and len(out) < leaves:
+        queue, have = [(0.0, 0)], 0
+        while queue and (len(out) < leaves or have < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(int(self.leaf[node]))
+                have += int(held[out[-1]]) if held is not None else 0
                 continue
             for kid, near in zip(kids, (-(self.centres[kids] @ query)).tolist(), strict=True):
                 heapq.heappush(queue, (near, kid))
@@ -201,14 +202,17 @@ def search(table: DataFrame, queries, k: int = K, recall: float = RECALL) -> Dat
 
     placed = checkpointed(vectors.mapInArrow(assign, "vec_id long, vec array<double>, leaf int"))
     leaves = _calibrated(placed, tree, queries, k, recall)
+    # One row for each leaf of the tree, whose size the sample bounds.
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    held = np.zeros(tree.leaves, np.int64)
+    for r in sizes.collect():
+        held[r["leaf"]] = r["n"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [shared.value.visit(v, leaves) for v in _matrix(b.column(1))]
+            lists = [shared.value.visit(v, leaves, held, k + 1) for v in _matrix(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "leaves"])
 
-    # One row for each leaf of the tree, whose size the sample bounds.
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("leaf")) - F.col("n")
     sizes = F.broadcast(sizes.select("leaf", F.floor(before / BIN).cast("int").alias("bin"), F.ceil(F.col("n") / BIN).cast("int").alias("blocks")))
     homes = placed.join(sizes, "leaf").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.lit(0).alias("query"), F.col("vec_id").alias("id"), "vec", F.array("leaf").alias("leaves"))

@@ -239,3 +239,12 @@ def test_repeated_lines_do_not_part_near_copies(spark):
     apart = np.bitwise_count(np.uint64(simhash.fingerprint(a) % (1 << 64)) ^ np.uint64(simhash.fingerprint(b) % (1 << 64)))
     assert simhash._similar(np.unique(a), np.unique(b), 0.8) and apart > 24
     assert {(r[0], r[1]) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_few_vectors_in_a_leaf_make_a_query_visit_more(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 8)
+    monkeypatch.setattr(ann, "_calibrated", lambda *_: 1)
+    vectors = np.random.default_rng(3).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = ann.search(df, lambda c: c % 20 == 0).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: ann.K for i in range(0, 200, 20)}
