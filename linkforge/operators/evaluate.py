@@ -138,13 +138,13 @@ def miss_report(s1: DataFrame, truth: DataFrame, cands: DataFrame, misses: DataF
 
 
 def slices(truth: DataFrame, cands: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """dim, bucket, truth_links, retrieved, recall by source, country, ambiguity and multiplicity: GROUPING SETS of one pass."""
+    """dim, bucket, truth_links, retrieved, recall by source, country, target's script, ambiguity and multiplicity: GROUPING SETS of one pass."""
     links = truth.select("s1", "id").distinct()
     same = targets.filter("name_norm <> ''").groupBy("name_norm").agg(F.count(F.lit(1)).alias("same"))
     named = s1.select("s1", "country", "name_norm").join(same, "name_norm", "left").na.fill(0, ["same"])
     many = links.groupBy("s1").agg(F.count(F.lit(1)).alias("many"))
-    rows = links.join(cands.select("s1", "id", F.lit(1).alias("hit")).distinct(), ["s1", "id"], "left").na.fill(0, ["hit"]).join(named, "s1").join(many, "s1")
-    dims = {"source": F.substring("id", 1, 2), "country": F.col("country"), "s1_name_ambiguity": X.ambiguity_bucket(F.col("same")), "s1_match_multiplicity": X.multiplicity_bucket(F.col("many"))}
+    rows = links.join(cands.select("s1", "id", F.lit(1).alias("hit")).distinct(), ["s1", "id"], "left").na.fill(0, ["hit"]).join(named, "s1").join(many, "s1").join(targets.select("id", "business_name"), "id", "left")
+    dims = {"source": F.substring("id", 1, 2), "country": F.col("country"), "target_script": X.script_class("business_name"), "s1_name_ambiguity": X.ambiguity_bucket(F.col("same")), "s1_match_multiplicity": X.multiplicity_bucket(F.col("many"))}
     cols = rows.select("hit", *(c.alias(k) for k, c in dims.items()))
     grouped = cols.groupingSets([[F.col(k)] for k in dims], *(F.col(k) for k in dims)).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("truth_links"), F.sum("hit").alias("retrieved"))
     bits = {k: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, k in enumerate(dims)}

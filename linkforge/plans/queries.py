@@ -155,11 +155,21 @@ def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.miss_report(s1, truth, cands, misses))
 
 
-def slices(spark: SparkSession, d: str) -> DataFrame:
+def _slices(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth = _sides(spark, d)
     return _rounded(E.slices(truth, R.candidates(s1, t, R.VARIANTS["v1"]), s1, t))
 
 
+def slices(spark: SparkSession, d: str) -> DataFrame:
+    """The dimensions that its SQL has."""
+    return _slices(spark, d).filter("dim <> 'target_script'")
+
+
+def slices_target_script(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension that SQL can't follow."""
+    return _slices(spark, d).filter("dim = 'target_script'")
+
+
 def error_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth, links = _links(spark, d)
     return E.error_taxonomy(E.per_entity(s1, truth, links), truth, R.candidates(s1, t, R.VARIANTS["v1"]), links)
@@ -320,6 +330,7 @@ QUERIES: dict[str, Query] = {
     "route_attribution": route_attribution,
     "miss_attribution": miss_attribution,
     "slices": slices,
+    "slices_target_script": slices_target_script,
     "error_taxonomy": error_taxonomy,
     "loss_report": loss_report,
     "output_scores": output_scores,

@@ -94,3 +94,13 @@ def test_tsv_round_trip(spark, tmp_path):
 def test_bootstrap_of_a_constant(spark):
     got = E.paired_bootstrap(spark.createDataFrame([(0.5,)] * 20, "delta double"), 50)
     assert got["mean"] == got["low"] == got["high"] == 0.5 and got["better"] == 20
+
+
+def test_slices_by_target_script(spark):
+    s1 = spark.createDataFrame([("S1-a", "US", "a")], "s1 string, country string, name_norm string")
+    names = [("S2-1", "Acme"), ("S2-2", "Acme क्षेत्र"), ("S3-3", "12 34"), ("S3-4", "Café")]
+    t = spark.createDataFrame([(i, n, "a") for i, n in names], "id string, business_name string, name_norm string")
+    truth = _pairs(spark, [("S1-a", i) for i, _ in names] + [("S1-a", "S3-gone")])
+    cands = _pairs(spark, [("S1-a", "S2-1"), ("S1-a", "S2-2")])
+    got = {r["bucket"]: (r["truth_links"], r["retrieved"], r["recall"]) for r in E.slices(truth, cands, s1, t).collect() if r["dim"] == "target_script"}
+    assert got == {"latin": (2, 1, 0.5), "non_latin": (1, 1, 1.0), "no_letters": (2, 0, 0.0)}
