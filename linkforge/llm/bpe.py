@@ -11,7 +11,7 @@ as the library does by default.
 
 encode_documents(): a null text counts as empty and gives no ids; repeated rows give repeated results; other
 columns don't matter. The text is taken whole, in batches that Arrow bounds in bytes; each task remembers at
-most CACHE distinct words.
+most CACHE distinct words of SHORT bytes at most, so its memory is bounded in bytes too.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ class Bpe:
 
 
 class _Words(dict):
-    """Per word: ids as int32 bytes, ids as decimal text, their bytes; forgotten when CACHE are held."""
+    """Per word: ids as int32 bytes, ids as decimal text, their bytes; long ones aren't kept, all are forgotten when CACHE are held."""
 
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
@@ -139,9 +139,10 @@ class _Words(dict):
     def __missing__(self, word) -> tuple[bytes, str, bytes]:
         ids = [word] if isinstance(word, int) else self.bpe.parts(word.encode())
         entry = array("i", ids).tobytes(), ",".join([self.digits[i] for i in ids]), b"".join([self.bpe.bytes_of[i] for i in ids])
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = entry
+        if len(entry[2]) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = entry
         return entry
 
 
@@ -157,10 +158,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, with_place: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text, and token_ids if asked for.
 
-    decoded_sha256 is of what decoding the ids gives; the ids' text is their decimal digits joined by commas.
+    decoded_sha256 is of what decoding the ids gives; the ids' text is their decimal digits joined by commas. with_place, for
+    docs that are files, adds input_part and input_row: the file's name and the row's number in it.
     """
 
     def make():
@@ -183,12 +185,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))))
                 names.append("token_ids")
+            if with_place:
+                arrays += [batch.column(2), batch.column(3)]
+                names += ["input_part", "input_row"]
             return pa.RecordBatch.from_arrays(arrays, names)
 
         return step
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", input_part string, input_row long" * with_place
+    place = [F.col("_metadata.file_name").alias("input_part"), F.col("_metadata.row_index").alias("input_row")] if with_place else []
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place), make, schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text's words, lower-cased, give their character n-grams (with word ends; short words are n-grams themselves) as
 hashed subwords; the text is the mean of their embeddings, classified by a linear softmax. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled rows (SAMPLE documents at most in expectation, shared
-evenly by the labels; whole texts up to SAMPLE_CHARS). A temperature and a rejection threshold are calibrated on a
+gradient descent in numpy on a bounded sample of labelled rows (SAMPLE documents in expectation, twice as many at most,
+shared evenly by the labels; whole texts, of SAMPLE_BYTES together at most, so that longer ones than an even share of
+twice the sample don't enter it). A temperature and a rejection threshold are calibrated on a
 part of the sample that isn't trained on: the score is the calibrated probability of the predicted language, and a
 document is rejected if its score is below what all but REJECT of the rightly labelled calibration texts reach.
 
@@ -20,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linkforge.llm.common import read_table
+from linkforge.llm.common import fresh, read_table
 
-#: Documents in the training sample, and the longest that enters it.
-SAMPLE, SAMPLE_CHARS = 1200, 200_000
+#: Documents in the training sample, and the bytes that twice as many may have.
+SAMPLE, SAMPLE_BYTES = 1200, 1 << 26
 BITS = 15
 BUCKETS, DIM, EPOCHS, RATE = 1 << BITS, 16, 3, 0.5
 #: The share of good calibration texts that may be rejected, and the highest threshold it may lead to.
@@ -159,37 +161,41 @@ def fit_sample(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return train([])
     # Hash shares of 2^31: each label gives sample / labels rows in expectation, and the limit bounds the whole.
     rate = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / len(counts) / n) * (1 << 31))))))
-    picked = usable.filter((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 31)) < F.element_at(rate, F.col("lang"))) & (F.length("text") <= SAMPLE_CHARS))
-    rows = picked.select("doc_id", "text", "lang").limit(2 * sample).collect() if sum(counts.values()) > 2 * sample else picked.select("doc_id", "text", "lang").collect()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 31))
+    picked = usable.filter((draw < F.element_at(rate, F.col("lang"))) & (F.octet_length("text") <= SAMPLE_BYTES // (2 * sample)))
+    rows = picked.select(draw.alias("draw"), "doc_id", "text", "lang").orderBy("draw", "doc_id", "lang", "text").limit(2 * sample).collect()
     return train([(r["doc_id"], r["text"], r["lang"]) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with lang_pred, score and rejected, from the whole text; the model is BUCKETS by labels in size."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs' columns `keep` with the prediction under `names`, from the whole text; the model is BUCKETS by labels in size.
+
+    names must not be among keep. A text that is kept is shipped once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.temperature, model.threshold))
-    inputs = docs.select(*keep, F.col("text").alias("__text"))
+    inputs = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = inputs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            labels, scores = own.score(batch.column(batch.num_columns - 1).to_pylist())
+            labels, scores = own.score(batch.column(at).to_pylist())
             rejected = [lab == UND or s < own.threshold for lab, s in zip(labels, scores, strict=True)]
-            arrays = [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "__lang", "__score", "__rejected"])
-
-    from pyspark.sql import types as T
+            arrays = [*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
 
-    schema = T.StructType([*inputs.schema.fields[:-1], T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__rejected", T.BooleanType())])
-    return inputs.mapInArrow(run, schema)
+    added = zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)
+    return inputs.mapInArrow(run, T.StructType([*inputs.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t in added)]))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = predict(docs, fit_sample(docs), ["doc_id"])
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs that a model trained on them doesn't reject, with their columns."""
     cols = docs.columns
-    return predict(docs, fit_sample(docs), cols).filter("not __rejected").select(*cols)
+    names = fresh(cols, "lang_pred"), fresh(cols, "lang_score"), fresh(cols, "lang_rejected")
+    return predict(docs, fit_sample(docs), cols, names).filter(~F.col(names[2])).select(*cols)

@@ -7,16 +7,17 @@ share of the rest.
 
 Curriculum: each weight has a schedule, piecewise linear over training time 0 to 1. Its integral, scaled to the
 source's target, is the source's cumulative token demand. A document's place in its source's stream (whole
-passes in the order of a digest of doc_id, then the documents that fill the rest) is inverted through that demand into
+passes in the order of a digest, then the documents that fill the rest) is inverted through that demand into
 the time at which it is trained on; documents are range-sorted by that position.
 
 Whole documents are taken: floor(target / source size) passes, and one more of those whose middle lies before the rest;
 a source's words come within one document's size of its target. Running sums go by slices of the digest
-(sums of slices, then inside each slice), so no task orders a whole source.
+(sums of slices, then inside each slice), so no task orders a whole source. The digest is of doc_id and text, so that
+texts under one doc_id, or under none, are in slices of their own.
 
-Nulls: a null text has size 0, a null source is a source of its own, a null doc_id sorts by an empty name. Documents of
-size 0 are taken 0 times. Repeated rows share their place's order and are taken separately. Reruns agree, whatever the
-partitions.
+Nulls: a null text has size 0, a null source is a source of its own, a null doc_id counts as an empty name. Documents of
+size 0 are taken 0 times. A row is its own: the rows of a repeated doc_id, and equal rows, are each taken as often as
+their own place says. Reruns agree, whatever the partitions.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ PATTERN = (5.0, 2.0, 1.0)
 REPEAT = 3
 #: (time, weight) knots for each weight of the pattern: broad sources fade, small ones come late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75)))
-#: Hexadecimal digits of the digest that name a slice: 4096 slices of each source.
-SLICE_DIGITS = 3
+#: Hexadecimal digits of the digest that name a slice: 65536 slices of each source.
+SLICE_DIGITS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -70,46 +71,63 @@ def inverse_demand(share: Column, knots: tuple[tuple[float, float], ...]) -> Col
     return out
 
 
-def mix(docs: DataFrame, pattern: tuple[float, ...] = PATTERN, schedules=SCHEDULES, repeat: float = REPEAT) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, positions for every row of docs.
-
-    positions: the training time of each copy, ascending; empty for documents that aren't taken.
-    """
-    order = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    sized = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("order")))
-    aims = targets(sized, pattern, repeat)
-    cut = F.substring("order", 1, SLICE_DIGITS)
-    sums = sized.groupBy("source", cut.alias("slice")).agg(F.sum("size").alias("n"))
-    starts = sums.withColumn("start", F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).drop("n")
-    inside = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sized.withColumn("slice", cut).withColumn("upto", F.sum("size").over(inside))
-    starts, aims = starts.withColumnRenamed("source", "of"), aims.withColumnRenamed("source", "of")
-    rows = rows.join(starts, rows["source"].eqNullSafe(starts["of"]) & (rows["slice"] == starts["slice"])).drop("of", starts["slice"])
-    rows = rows.join(aims, rows["source"].eqNullSafe(aims["of"])).drop("of")
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, its place's digest, and source (never null) and slice as keys."""
+    order = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    source = F.col("source").cast("string")
+    rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), word_count(F.col("text")).alias("size"), order.alias("order"))
+    return rows.withColumns({"of": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "slice": F.substring("order", 1, SLICE_DIGITS)})
+
+
+def _placed(docs: DataFrame, whole: bool, pattern: tuple[float, ...], repeat: float) -> DataFrame:
+    """doc_id, source, size, order, kind, source_size, target, middle (of its place in its source) and copies of every row; whole: also `row`."""
+    sized = _sized(docs, F.struct(*docs.columns).alias("row")) if whole else checkpointed(_sized(docs))
+    # Sums by source and slice are all that the whole table tells each row.
+    sums = checkpointed((_sized(docs) if whole else sized).groupBy("of", "slice").agg(F.any_value("source").alias("source"), F.sum("size").alias("n")))
+    aims = targets(sums.select("source", F.col("n").alias("size")), pattern, repeat)
+    aims = aims.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), "kind", "source_size", "target")
+    start = F.sum("n").over(Window.partitionBy("of").orderBy("slice")) - F.col("n")
+    places = sums.select("of", "slice", start.alias("start")).join(aims, "of")
+    inside = Window.partitionBy("of", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sized.withColumn("upto", F.sum("size").over(inside)).join(places, ["of", "slice"])
     middle = F.col("start") + F.col("upto") - F.col("size") / 2
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("middle", middle).withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("passes") + (F.col("middle") < F.col("rest")).cast("long"), F.lit(repeat))).cast("int")
-    rows = rows.withColumn("copies", copies)
+    return rows.select(*["row"][: int(whole)], "doc_id", "source", "size", "order", "kind", "source_size", "target", "middle", copies.alias("copies"))
+
+
+def _position(c: Column, schedules) -> Column:
+    """The training time of a row's copy number c."""
+    share = F.least((c * F.col("source_size") + F.col("middle")) / F.col("target"), F.lit(1.0))
+    out = inverse_demand(share, schedules[0])
+    for k in range(1, len(schedules)):
+        out = F.when(F.col("kind") == k, inverse_demand(share, schedules[k])).otherwise(out)
+    return out
 
-    def position(c: Column) -> Column:
-        share = F.least((c * F.col("source_size") + F.col("middle")) / F.col("target"), F.lit(1.0))
-        out = inverse_demand(share, schedules[0])
-        for k in range(1, len(pattern)):
-            out = F.when(F.col("kind") == k, inverse_demand(share, schedules[k % len(schedules)])).otherwise(out)
-        return out
 
+def mix(docs: DataFrame, pattern: tuple[float, ...] = PATTERN, schedules=SCHEDULES, repeat: float = REPEAT) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, positions for every row of docs.
+
+    positions: the training time of each copy, ascending; empty for documents that aren't taken. schedules has one for each weight of pattern.
+    """
+    rows = _placed(docs, False, pattern, repeat)
     # A document sees few copies, so each has its own expression: they stay inside code generation.
-    each = F.filter(F.array(*(F.when(F.col("copies") > c, position(F.lit(c))) for c in range(int(repeat)))), lambda p: p.isNotNull())
+    each = F.filter(F.array(*(F.when(F.col("copies") > c, _position(F.lit(c), schedules)) for c in range(int(repeat)))), lambda p: p.isNotNull())
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), each.alias("positions"))
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, range-sorted by training position."""
-    mixed = checkpointed(mix(docs, **options)).filter("copies > 0").groupBy("doc_id").agg(F.max("positions").alias("__positions"))
-    placed = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
-    rows = placed.withColumn("__at", F.explode("__positions")).drop("__positions")
-    return rows.repartitionByRange(width(docs.sparkSession), "__at").sortWithinPartitions("__at").drop("__at")
+def curriculum(docs: DataFrame, pattern: tuple[float, ...] = PATTERN, schedules=SCHEDULES, repeat: float = REPEAT) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, range-sorted by training position (then by digest).
+
+    Rows go through the running sums whole, so that each keeps its own place whatever else shares its doc_id. The columns are
+    those of docs. Written as files, parts in the order of their names and rows in the order of a part are the training
+    order; a reader that needs it asks for both (`_metadata.file_name` and `_metadata.row_index`).
+    """
+    copies = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)))
+    taken = _placed(docs, True, pattern, repeat).select("row", "order", "kind", "source_size", "target", "middle", copies.alias("copy"))
+    taken = taken.select("row", "order", _position(F.col("copy"), schedules).alias("at"))
+    return taken.repartitionByRange(width(docs.sparkSession), "at", "order").sortWithinPartitions("at", "order").select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +149,7 @@ def _curve_sql(share: str, knots) -> str:
 
 OP5_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, sha256(coalesce(doc_id::varchar, '')) AS h,
+  SELECT doc_id, source, sha256(coalesce(doc_id::varchar, '') || chr(10) || coalesce(text, '')) AS h,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size
   FROM documents
 ), s AS (

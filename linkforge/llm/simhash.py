@@ -13,23 +13,25 @@ of a cell (BLOCK fingerprints at most, larger cells are split) and streams the r
 forest, never all pairs, so that large groups stay linear.
 
 near_duplicates() is for a similarity threshold, where the radius is too wide for population counts to part
-anything (0.8 on five words is 10 of 64 bits on average, 24 at worst). There min-hash bands choose which
-tiles meet; inside them the fingerprints are compared in the same way, and each remaining link is verified by
-the exact Jaccard similarity of the whole texts' shingles.
+anything (0.8 on five words is 10 of 64 bits on average, 26 at worst). There min-hash bands choose which
+tiles meet; inside them tiles are skipped if their population counts, or their numbers of shingles, lie too far
+apart, fingerprints are compared by exclusive-or and bit counts, and each remaining link is verified by the exact
+Jaccard similarity of the whole texts' shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import checkpointed, map_batches, min_label_components, read_table, width
+from linkforge.llm.common import checkpointed, fresh, map_batches, min_label_components, read_table, width
 
 SEED = 42
 #: Fingerprints that one task holds of a cell, and one side of a numpy tile.
@@ -199,32 +201,38 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- a similarity threshold -------------------------------------------------------------------------
 
-#: Texts of one likeness group that a task compares with each other or with as many others.
-GROUP_BLOCK = 1024
+#: Texts, and shingles, of one likeness group that a task compares with each other or with as many others.
+GROUP_BLOCK, GROUP_SHINGLES = 1024, 1 << 22
+#: Texts of a tile.
+GROUP_TILE = 256
 
 
 def _sketch(shingle: int, bands: int, rows: int):
-    """A task's step: doc_id, digest of the words and one min-hash key for each band."""
+    """A task's step over (doc_id, digest, text): the number of distinct shingles and one min-hash key for each band."""
     draw = np.random.default_rng(20240229)
-    mult = draw.integers(1, 1 << 63, size=(bands * rows, 1), dtype=np.uint64) | np.uint64(1)
-    add = draw.integers(0, 1 << 63, size=(bands * rows, 1), dtype=np.uint64)
+    mult = draw.integers(1, 1 << 32, size=(bands * rows, 1), dtype=np.uint32) | np.uint32(1)
+    add = draw.integers(0, 1 << 32, size=(bands * rows, 1), dtype=np.uint32)
+    room = np.empty((bands * rows, 1024), dtype=np.uint32)
 
     def keys(hashes: np.ndarray) -> list[int]:
-        least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(hashes), 1024):
-            part = hashes[None, at : at + 1024]
-            least = np.minimum(least, ((part ^ (part >> np.uint64(31))) * mult + add).min(axis=1))
+        least = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
+        low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+        for at in range(0, len(low), room.shape[1]):
+            part = low[None, at : at + room.shape[1]]
+            here = room[:, : part.shape[1]]
+            np.multiply(part, mult, out=here)
+            np.add(here, add, out=here)
+            np.minimum(least, here.min(axis=1), out=least)
         return [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, bandkeys = [], []
-        for t in batch.column(1):
-            text = t.as_py() or ""
-            digests.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8").lower().split())))
-            hashes = shingle_hashes(text, shingle)
+        sizes, bandkeys = [], []
+        for t in batch.column(2):
+            hashes = np.unique(shingle_hashes(t.as_py(), shingle))
+            sizes.append(len(hashes))
             bandkeys.append(keys(hashes) if len(hashes) else [])
-        arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(bandkeys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "keys"])
+        arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bandkeys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n", "keys"])
 
     return step
 
@@ -240,84 +248,140 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+@dataclass
+class _Tile:
+    """Texts of a group: nodes, sorted shingle sets, their fingerprints and both kinds of counts."""
+
+    nodes: list[int]
+    sets: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        # The similarity is of sets, so the fingerprint is too: repeated lines would pull it away.
+        self.fps = np.array([fingerprint(s) for s in self.sets], dtype=np.int64).view(np.uint64)
+        self.bits = np.bitwise_count(self.fps).astype(np.int64)
+        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+
+    def apart(self, other: _Tile, similarity: float, radius: int) -> bool:
+        """Whether counts alone rule out every pair: a Jaccard similarity is no more than the ratio of the sizes."""
+        bits = max(self.bits.min() - other.bits.max(), other.bits.min() - self.bits.max())
+        sizes = self.sizes.max() < similarity * other.sizes.min() or other.sizes.max() < similarity * self.sizes.min()
+        return bool(bits > radius or sizes)
+
+    def links(self, other: _Tile, similarity: float, radius: int, forest: Forest) -> Iterator[tuple[int, int]]:
+        if self.apart(other, similarity, radius):
+            return
+        bits = np.bitwise_count(self.fps[:, None] ^ other.fps[None, :])
+        left, right = np.nonzero((bits <= radius) & (np.minimum(self.sizes[:, None], other.sizes) >= similarity * np.maximum(self.sizes[:, None], other.sizes)))
+        nearest = np.argsort(bits[left, right], kind="stable")
+        for a, b in zip(left[nearest].tolist(), right[nearest].tolist(), strict=True):
+            u, v = self.nodes[a], other.nodes[b]
+            if u != v and forest.find(u) != forest.find(v) and _similar(self.sets[a], other.sets[b], similarity):
+                forest.union(u, v)
+                yield u, v
+
+
 def _verify_groups(shingle: int, similarity: float, radius: int):
-    """For mapInArrow over rows (grp, i, j, side, node, text) sorted in this order: verified links."""
+    """For mapInArrow over rows (grp, i, j, side, node, text) sorted by these, texts by their number of shingles: verified links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, forest = None, Forest()
+        key, forest, held = None, Forest(), []
         nodes: list[int] = []
         sets: list[np.ndarray] = []
-        fps = np.empty(0, dtype=np.uint64)
-        first = 0  # rows of side 0
+
+        def close() -> list[tuple[int, int]]:
+            """Links of the waiting tile: block i's tiles wait for block j's, or meet each other if i = j."""
+            if not nodes:
+                return []
+            (_, i, j, side), tile = key, _Tile(list(nodes), list(sets))
+            meets = held if side else [*held, tile] if i == j else []
+            found = [x for other in meets for x in tile.links(other, similarity, radius, forest)]
+            if not side:
+                held.append(tile)
+            nodes.clear()
+            sets.clear()
+            return found
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["src", "dst"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            links: list[tuple[int, int]] = []
             cols = [batch.column(i).to_pylist() for i in range(5)]
-            for at, (grp, i, j, side, node) in enumerate(zip(*cols, strict=True)):
-                if key != (grp, i, j):
-                    key, forest, nodes, sets, first = (grp, i, j), Forest(), [], [], 0
-                    fps = np.empty(2 * GROUP_BLOCK, dtype=np.uint64)
-                # The similarity is of sets, so the fingerprint is too: repeated lines would pull it away.
-                mine = np.unique(shingle_hashes(batch.column(5)[at].as_py(), shingle))
-                fp = np.int64(fingerprint(mine)).astype(np.uint64)
-                against = first if side else len(nodes)
-                apart = np.bitwise_count(fps[:against] ^ fp)
-                close = np.flatnonzero(apart <= radius)
-                for k in close[np.argsort(apart[close], kind="stable")].tolist():
-                    if forest.find(nodes[k]) != forest.find(node) and _similar(mine, sets[k], similarity):
-                        forest.union(node, nodes[k])
-                        out.append((node, nodes[k]))
-                if not side or i == j:
-                    if len(nodes) == len(fps):
-                        fps = np.concatenate([fps, np.empty_like(fps)])
-                    fps[len(nodes)] = fp
-                    nodes.append(node)
-                    sets.append(mine)
-                    first = len(nodes)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["src", "dst"])
+            for at, new in enumerate(zip(*cols[:4], strict=True)):
+                if key != new or len(nodes) == GROUP_TILE:
+                    links += close()
+                    if key is None or key[:3] != new[:3]:
+                        forest, held = Forest(), []
+                    key = new
+                nodes.append(cols[4][at])
+                sets.append(np.unique(shingle_hashes(batch.column(5)[at].as_py(), shingle)))
+            if links:
+                yield out(links)
+        if links := close():
+            yield out(links)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 28, rows: int = 7) -> DataFrame:
-    """(doc_id, component_id) for every row of docs(doc_id, text): groups of like texts.
+def _digest(text: Column) -> Column:
+    """16 bytes that equal texts share; texts without words are equal."""
+    return F.unhex(F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit(""))))
 
-    Texts whose words are the same after lower-casing are copies. Other texts are linked if their sets of
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 26, bands: int = 40, rows: int = 6) -> DataFrame:
+    """(doc_id, component_id, digest, first) for every row of docs(doc_id, text): groups of like texts.
+
+    Equal texts are copies, and so are texts without words. Other texts are linked if their sets of
     shingles have at least this Jaccard similarity; a group is what links connect. `rows` equal minima in one
-    of `bands` bands bring two texts together (missed at 0.8: one pair in 700, less above), fingerprints
+    of `bands` bands bring two texts together (missed at 0.8: one pair in 190,000, less above), fingerprints
     of their distinct shingles farther apart than `radius` part them again (0.8 means 10 bits of 64, with a deviation
-    of 3, so that 24 is five deviations off), and the exact similarity decides. Texts without words are copies of each other.
+    of 3: less than one pair in a million), and the exact similarity decides.
+
+    A text's node is its digest, so that unlike texts under one doc_id are nodes of their own. component_id is a
+    group's least doc_id, nulls last, and first is the digest of that row (the least of several).
 
-    A group that copies or chains make large is cut into blocks; each pair of blocks is one task's work and
-    yields a forest of verified links, so no task holds more than two blocks and no link is lost.
+    A group that copies or chains make large is cut into blocks of bounded texts and shingles; each pair of blocks is one
+    task's work and yields a forest of verified links, so no task holds more than a block and a tile and no link is lost.
     """
-    sketch = checkpointed(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: _sketch(shingle, bands, rows), "doc_id long, digest binary, keys array<long>"))
-    reps = sketch.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", _digest(F.col("text")))
+    sketch = checkpointed(map_batches(named.select("doc_id", "digest", "text"), lambda: _sketch(shingle, bands, rows), "doc_id long, digest binary, n long, keys array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    # Numbers of rows are told once and kept, so that they stay the same if an executor is lost.
+    reps = checkpointed(sketch.groupBy("digest").agg(first, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
     keyed = checkpointed(reps.select("node", F.explode("keys").alias("key")))
-    least = keyed.groupBy("key").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    least = keyed.groupBy("key").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     near = min_label_components(keyed.join(least, "key").select(F.col("node").alias("src"), "dst"))
-    members = checkpointed(near.select("node", F.col("component").alias("grp")).union(near.select("component", "component").distinct()))
-    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    members = checkpointed(near.select("node", F.col("component").alias("grp")).union(near.select("component", "component").distinct()).join(reps.select("node", "first", "n"), "node"))
+    sizes = members.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP_BLOCK), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    placed = members.join(sizes, "grp").select("grp", "node", own.alias("own"), "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
-    sent = texts.select("grp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "text")
-    sent = sent.select("grp", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).cast("int").alias("side"), "node", "text")
-    sent = sent.repartition(width(docs.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node")
+    placed = members.join(sizes, "grp").select("grp", "node", "n", own.alias("own"), "blocks", F.col("first.doc_id").alias("of_id"), F.col("first.digest").alias("of_digest"))
+    # The first row of a text stands for it; a row that repeats is one text still.
+    texts = named.join(placed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))).select("grp", "node", "n", "own", "blocks", "text")
+    if sketch.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").head(1):
+        texts = texts.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("grp", "n", "own", "blocks", "text")))
+    sent = texts.select("grp", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "text")
+    sent = sent.select("grp", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).cast("int").alias("side"), "node", "text", "n")
+    sent = sent.repartition(width(docs.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "n", "node").drop("n")
     links = min_label_components(sent.mapInArrow(_verify_groups(shingle, similarity, radius), "src long, dst long"))
-    named = reps.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return sketch.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
+    grouped = reps.join(links, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
+    heads = grouped.groupBy("component").agg(F.min("first").alias("head"))
+    labels = grouped.select("digest", "component").join(heads, "component").select("digest", "component", F.col("head.doc_id").alias("component_id"), F.col("head.digest").alias("first"))
+    return sketch.select("doc_id", "digest").join(labels, "digest").select("doc_id", "component_id", "digest", "first")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay when each group of near-duplicates keeps its least doc_id.
+    """The rows of docs that stay when each group of near-duplicates keeps its row of least doc_id, nulls last.
 
-    A repeated row stays once; rows without a doc_id are no group's and stay.
+    Of rows that share this doc_id, that of the least digest stays; of rows that share both, one, the least by the hash of all its columns.
     """
     named = checkpointed(near_duplicates(docs, **options))
-    kept = named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    once = docs.join(kept.filter("__n = 1"), docs["doc_id"] == kept["doc_id"], "left_semi")
-    out = once.unionByName(docs.filter("doc_id is null"))
-    if (again := kept.filter("__n > 1")).head(1):
-        out = out.unionByName(docs.join(again, docs["doc_id"] == again["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    name, kept_name, hash_name = fresh(docs.columns, "row_key"), fresh(docs.columns, "kept_key"), fresh(docs.columns, "row_hash")
+    row_key = lambda doc_id, digest: F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.hex(digest))
+    kept = named.filter("doc_id <=> component_id and digest = first").groupBy(row_key(F.col("doc_id"), F.col("digest")).alias(kept_name)).agg(F.count(F.lit(1)).alias("n"))
+    keyed = docs.withColumn(name, row_key(F.col("doc_id"), _digest(F.col("text").cast("string"))))
+    out = keyed.join(kept.filter("n = 1"), F.col(name) == F.col(kept_name), "left_semi")
+    if (again := kept.filter("n > 1")).head(1):
+        repeated = keyed.join(again, F.col(name) == F.col(kept_name), "left_semi").withColumn(hash_name, F.xxhash64(*docs.columns))
+        ranked = repeated.withColumn(kept_name, F.row_number().over(Window.partitionBy(name).orderBy(hash_name)))
+        out = out.unionByName(ranked.filter(F.col(kept_name) == 1).drop(kept_name, hash_name))
+    return out.select(*docs.columns)
