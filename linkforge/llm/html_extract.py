@@ -1,16 +1,18 @@
 """Main text of HTML pages by tree scoring.
 
-The page is read into a tree by HTML's rules for raw text, void elements and implied ends. Subtrees that can't be
-article text (scripts, styles, forms, navigation, headers, footers, sidebars, and elements whose class, id or role
-names an advert, notice, menu, share bar or reader comments) are set aside. Each paragraph earns points for its
-commas and its length and passes them on to its ancestors, the whole to the parent and less with each level; a
-container's points are discounted by its link density. The best container is kept, widened to the `article` or
-`main` it stands in, or else joined by siblings that score well or read like paragraphs.
+The page is read into a tree by HTML's rules for raw text, void elements and implied ends. Only what a reader never sees, or
+what its own tag calls something else (scripts, styles, navigation, footers, asides, hidden elements), is set aside unread.
+Each paragraph earns points for its commas and its length and passes them on to its ancestors, the whole to the parent and
+less with each level. An element whose class, id or role names an advert, a notice, a menu, a share bar or reader comments, a
+form, a page's header, and what follows a heading "Comments" are doubted: they pass on DOUBTED of their points. A container's
+points are discounted by its link density. The best container is kept, widened to the `article` or `main` it stands in, and
+joined by siblings that score well or read like paragraphs. Inside what is kept, doubted elements are left out unless they hold
+the best container; of a header the headings stay.
 
 extract(): blocks in page order joined by one newline; white space inside a block (also a line break element) is one
-space; character references are decoded once. A null or empty page, or one without text, gives the empty text.
-Broken markup never fails: unclosed elements end with their parents, stray ends are ignored. extract_pages() keeps
-page_id and url as they are, null or repeated.
+space; character references are decoded once. A null or empty page, or one without text, gives the empty text; a page
+all of whose text is hidden or doubted gives all of it. Broken markup never fails: unclosed elements end with their parents, stray ends are
+ignored. extract_pages() keeps page_id and url as they are, null or repeated; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -44,11 +46,24 @@ ENDS = {
     "body": (frozenset(["head"]), frozenset()),
 }
 PARAGRAPH_SCOPE = frozenset("table td th caption html object template button".split())
-#: Words in a class or id that set an element aside, and roles that do.
-ASIDE_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation navi menu menus breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer colophon copyright sidebar sidebars rail widget widgets share sharing social related recommended recommendations trending popular comment comments commentlist disqus replies reply respond responses reactions discussion skip toc".split()
+#: Fixed lists of words in a class or id by what they mean here; a paragraph is only doubted for the first.
+NOISE_WORDS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall breadcrumb breadcrumbs pagination pager copyright share sharing social".split()
 )
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist tooltip status".split())
+LAYOUT_WORDS = frozenset("nav navbar navigation navi menu menus toolbar footer colophon sidebar sidebars rail widget widgets related recommended recommendations trending popular skip toc".split())
+TALK_WORDS = frozenset("comment comments commentlist disqus replies reply respond responses reactions discussion".split())
+HEADER_WORDS = frozenset("header masthead topbar banner banners".split())
+#: The words of a reader's or visitor's element that make it comments, and words before which a listed word says what is inside.
+READER_WORDS, READER_TALK = frozenset("reader readers visitor visitors user users guest".split()), frozenset("notes feedback opinions reviews thoughts letters voices".split())
+HOLDER_WORDS = frozenset("has have with without no non is".split())
+DOUBTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist tooltip status".split())
+#: Headings of reader comments, and of link lists that belong to a text.
+TALK_HEADING = re.compile(r"(?:(?:\d+|no|all|latest|recent|(?:reader|user|visitor)(?:s|['’]s|s['’])?)\s+)?comments?(?:\s*[(:]?\s*\d*\s*\)?)|(?:leave|post|add|write)\s+(?:a|your)\s+(?:comment|reply)|join\s+the\s+(?:discussion|conversation)", re.I)
+REFERENCES = re.compile(r"references|sources|bibliography|literature|citations|further reading|external links|links|see also|notes", re.I)
+#: What a doubted element passes on of its points; the letters of a link that is more than a menu's label.
+DOUBTED, LABEL = 0.2, 20
+#: Kinds of doubt.
+HEADER, OTHER = 1, 2
 BASE_SCORE = {"article": 10.0, "main": 10.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "form": -3.0, "th": -5.0}
 SCORED = frozenset("p pre td blockquote dd li figcaption".split())
 
@@ -59,39 +74,51 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "aside", "chars", "linked", "links", "score", "top")
+    __slots__ = ("tag", "parent", "children", "aside", "doubt", "chars", "linked", "links", "score", "top")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.aside = False
+        self.aside, self.doubt = False, 0
         self.chars = self.linked = self.links = 0
         self.score = BASE_SCORE.get(tag, 0.0)
         self.top = parent.top if parent is not None and parent.top is not None else None
 
 
-def _set_aside(tag: str, raw: str) -> bool:
-    """Whether an element's attributes set it aside."""
+def _word_doubt(tag: str, value: str) -> int:
+    """What the words of a class or an id say of an element."""
+    found = 0
+    for one in value.split():
+        words = [w.lower() for w in WORDS.findall(one)]
+        held = next((k for k, w in enumerate(words) if w in HOLDER_WORDS), len(words))
+        own = set(words[:held])
+        if own & NOISE_WORDS:
+            return OTHER
+        if tag == "p":
+            continue
+        if own & TALK_WORDS or own & LAYOUT_WORDS or (own & READER_WORDS and own & READER_TALK):
+            return OTHER
+        if own & HEADER_WORDS:
+            found = HEADER
+    return found
+
+
+def _marks(node: Node, raw: str) -> None:
+    """Sets an element aside, or doubts it, for its attributes."""
     if not raw or raw.isspace():
-        return False
+        return
     for m in ATTRIBUTE.finditer(raw):
         name = m[1].lower()
         if name == "hidden":
-            return True
+            node.aside = True
+        if name not in ("role", "aria-hidden", "style", "class", "id"):
+            continue
         value = html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "role" and value.strip().lower() in ASIDE_ROLES:
-            return True
-        if name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if name == "style" and HIDDEN.search(value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for one in value.split():
-                words = [w.lower() for w in WORDS.findall(one)]
-                if words and words[0] not in ("has", "with", "no", "is") and not ASIDE_WORDS.isdisjoint(words):
-                    return True
-        if name in ("class", "id") and tag == "article" and re.search(r"(?i)(?:^|[^a-z])(?:comments?|repl(?:y|ies)|advert|ad|promo|sponsored|related)(?:[^a-z]|$)", value):
-            return True
-    return False
+        if name == "style":
+            node.aside |= bool(HIDDEN.search(value))
+        elif name == "role" and value.strip().lower() in DOUBTED_ROLES or name == "aria-hidden" and value.strip().lower() == "true":
+            node.doubt = OTHER
+        elif name in ("class", "id") and node.tag not in ("html", "body", "main", "h1"):
+            node.doubt = max(node.doubt, _word_doubt(node.tag, value))
 
 
 def parse(page: str) -> Node:
@@ -145,8 +172,10 @@ def parse(page: str) -> Node:
         if tag in HEADING and stack[-1].tag in HEADING:
             pop_to(len(stack) - 1)
         node = Node(tag, stack[-1])
-        node.aside = tag in DROP or _set_aside(tag, raw)
-        if tag in ("article", "main") and not node.aside and (node.top is None or node.top.tag == "main"):
+        node.aside = tag in DROP
+        node.doubt = OTHER if tag == "form" else HEADER if tag == "header" else 0
+        _marks(node, raw)
+        if tag in ("article", "main") and not node.aside and not node.doubt and (node.top is None or node.top.tag == "main"):
             node.top = node
         stack[-1].children.append(node)
         if tag in RAW:
@@ -163,9 +192,6 @@ def _prepare(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in ("header", "form") and not node.aside:
-            # A page's header goes; an article's keeps its headings. A form goes unless it wraps the article.
-            node.aside = node.top is None if node.tag == "header" else not _wraps_article(node)
         if node.aside:
             continue
         order.append(node)
@@ -178,17 +204,34 @@ def _prepare(root: Node) -> list[Node]:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.links += node.links
+    for node in order:
+        if node.tag in HEADING and node.chars < 60 and TALK_HEADING.fullmatch(_own_text(node)):
+            _doubt_talk(node)
     return order
 
 
-def _wraps_article(form: Node) -> bool:
-    todo = [form]
-    while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main", "h1"):
-            return True
-        todo += [c for c in node.children if isinstance(c, Node)]
-    return False
+def _blocks(node: Node) -> list[Node]:
+    """An element's children that have text."""
+    return [c for c in node.children if isinstance(c, Node) and not c.aside and c.chars]
+
+
+def _doubt_talk(heading: Node) -> None:
+    """Doubts the comments under their heading: its section if it opens one, and what follows up to the next heading of its rank."""
+    first = heading
+    while first.parent is not None and first.parent.tag not in ("body", "html", "main", "article", "#root") and _blocks(first.parent)[:1] == [first] and first.parent.chars > first.chars:
+        first = first.parent
+        first.doubt = OTHER
+        if first.tag in ("section", "aside", "div", "ol", "ul"):
+            return
+    if first.parent is None:
+        return
+    after = False
+    for one in first.parent.children:
+        if isinstance(one, Node):
+            if after and one.tag in HEADING and one.tag <= heading.tag:
+                return
+            if after or one is first:
+                after, one.doubt = True, OTHER
 
 
 def _density(node: Node) -> float:
@@ -216,9 +259,13 @@ def _score(order: list[Node]) -> list[Node]:
         words = _own_text(node)
         if not words:
             continue
-        points = 1 + len(re.findall("[,،、，]", words)) + min(len(words) // 100, 3)
-        up, level = node.parent if node.tag in SCORED and node.parent is not None else node, 0
+        points = 1.0 + len(re.findall("[,،、，]", words)) + min(len(words) // 100, 3)
+        up, level = node, 0
+        if node.tag in SCORED and node.parent is not None:
+            points *= DOUBTED if node.doubt else 1.0
+            up = node.parent
         while up is not None and level < 6:
+            points *= DOUBTED if up.doubt else 1.0
             up.score += points / (1 if level == 0 else 2 * level)
             got[id(up)] = up
             up, level = up.parent, level + 1
@@ -226,73 +273,109 @@ def _score(order: list[Node]) -> list[Node]:
 
 
 def _worth(node: Node) -> float:
-    return node.score * (1 - _density(node))
+    return node.score * (1 - _density(node)) * (DOUBTED if node.doubt and node.score < 0 else 1.0)
 
 
-def _chosen(root: Node) -> list[Node]:
-    order = _prepare(root)
-    if found := _score(order):
-        best = max(found, key=_worth)  # the first of equals
-        if best.top is not None:
-            return [best.top]
-        if best.parent is None or best.tag in ("body", "html"):
-            return [best]
-        floor, out = max(10.0, 0.2 * _worth(best)), []
-        for one in best.parent.children:
-            if not isinstance(one, Node) or one.aside:
-                continue
-            reads = one.tag == "p" and (_density(one) < 0.25 if one.chars > 80 else one.linked == 0 and one.chars > 0)
-            if one is best or reads or one.tag in ("h1", "h2") or _worth(one) >= floor:
-                out.append(one)
-        return out
-    return [next((n for n in order if n.tag in ("article", "main")), root)]
+def _siblings(best: Node) -> list[Node]:
+    """The best container and those beside it that score well or read like paragraphs; beside an article, only what scores well."""
+    floor, out = max(10.0, 0.2 * _worth(best)), []
+    for one in best.parent.children:
+        if not isinstance(one, Node) or one.aside or (one.doubt and one is not best):
+            continue
+        reads = one.tag == "p" and best.tag != "article" and (_density(one) < 0.25 if one.chars > 80 else one.linked == 0 and one.chars > 0)
+        if one is best or reads or one.tag == "h1" or (one.tag == "h2" and best.tag != "article") or _worth(one) >= floor:
+            out.append(one)
+    return out
+
+
+def _chosen(order: list[Node]) -> tuple[list[Node], Node]:
+    """The elements that are kept, in page order, and the best container."""
+    found = _score(order)
+    if not found:
+        return [next((n for n in order if n.tag in ("article", "main")), order[0])], order[0]
+    best = max(found, key=_worth)  # the first of equals
+    whole = best if best.top is None else best.top
+    if whole.parent is None or whole.tag in ("body", "html", "main"):
+        return [whole], best
+    return _siblings(whole), best
+
+
+def _is_menu(node: Node, heading: str, read: bool) -> bool:
+    """A list of bare links: a menu if its labels are short and it opens the text or isn't introduced as references."""
+    if node.tag not in ("ul", "ol", "div", "section", "table") or node.links < 3 or _density(node) <= 0.8:
+        return False
+    return node.linked < LABEL * node.links and not (read and REFERENCES.search(heading))
 
 
-def extract(page: str | None) -> str:
-    if not page:
-        return ""
+FLUSH = object()
+
+
+def _text(roots: list[Node], best: Node, page: Node) -> str:
     blocks: list[str] = []
     run: list[str] = []
+    spine = set()
+    while best is not None:
+        spine.add(id(best))
+        best = best.parent
+    whole_page = any(r is page or r.tag in ("body", "html") for r in roots)
 
     def flush() -> None:
         if words := " ".join("".join(run).split()):
             blocks.append(words)
         run.clear()
 
-    todo: list = list(reversed(_chosen(parse(page))))
-    only_headings = 0  # inside an article's header
+    heading, read = "", False
+    todo: list = [(r, False) for r in reversed(roots)]
     while todo:
-        one = todo.pop()
-        if one is None:
+        one, only_headings = todo.pop()
+        if one is FLUSH:
             flush()
-        elif isinstance(one, str):
-            if not only_headings or _heading:
+            continue
+        if isinstance(one, str):
+            if not only_headings:
                 run.append(one)
-        elif isinstance(one, tuple):
+            continue
+        block = one.tag in BLOCK
+        if block:
             flush()
-            only_headings, _heading = one
-        elif one.tag == "br":
+        if one.tag == "br":
             run.append(" ")
-        elif one.aside and not (one.tag == "header" and one.top is not None):
-            if one.tag in BLOCK:
-                flush()
-        elif one.tag in ("ul", "ol", "div", "section", "table") and one.links >= 3 and _density(one) > 0.8:
-            flush()  # a menu inside the article
-        elif one.tag == "header" or (only_headings and one.tag in HEADING):
-            flush()
-            todo.append((only_headings, _heading if only_headings else False))
-            only_headings, _heading = 1, one.tag in HEADING
-            todo += reversed(one.children)
-        elif one.tag in BLOCK:
-            flush()
-            todo.append(None)
-            todo += reversed(one.children)
-        else:
-            todo += reversed(one.children)
+            continue
+        if one.aside:
+            continue
+        if id(one) not in spine and one.doubt == HEADER and one.tag not in HEADING and not (whole_page and one.top is None):
+            only_headings = True  # of an article's header
+        elif id(one) not in spine and one.doubt and not (one.doubt == HEADER and one.tag in HEADING):
+            continue
+        elif one.links and id(one) not in spine and _is_menu(one, heading, read):
+            continue
+        if one.tag in HEADING:
+            heading, only_headings = _own_text(one), False
+        read = read or one.tag == "p"
+        if block:
+            todo.append((FLUSH, False))
+        todo += [(c, only_headings) for c in reversed(one.children)]
     flush()
     return "\n".join(blocks)
 
 
+def extract(page: str | None) -> str:
+    if not page:
+        return ""
+    root = parse(page)
+    order = _prepare(root)
+    text = _text(*_chosen(order), root) or _text([root], root, root)
+    if not text:
+        # All text is hidden or doubted: it is the page.
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            node.aside, node.doubt = node.tag in DROP, 0
+            todo += [c for c in node.children if isinstance(c, Node)]
+        text = _text([root], root, root)
+    return text
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row of pages(page_id, url, html)."""
 
