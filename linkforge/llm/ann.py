@@ -10,8 +10,9 @@ Leaves are packed into bins of about BIN vectors, searched as equi-joins by (bin
 vector fills is split into blocks of that size, so it is many tasks. Queries stream past a bin's vectors, each with the
 leaves that it visits there, and the bin returns its best K of each query: partial results grow with bins, not leaves.
 
-What takes part: a vec_id counts once (of repeated rows the least vector); null ids, null or zero vectors, vectors with
-null or non-finite components or not of the commonest length (the greater of equals) take no part. Ties go to the smaller vec_id. Fewer than K candidates are all returned.
+What takes part: a vec_id counts once (of repeated rows the least vector); null ids, null or zero vectors and vectors with
+null or non-finite components take no part. Vectors of unlike lengths meet in the components that both have: shorter ones
+are filled with zeros. Ties go to the smaller vec_id. Fewer than K candidates are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from linkforge.llm.common import checkpointed, read_table
 
 K, EVERY = 20, 20
-SAMPLE, FAN, LEAF, BIN = 20_000, 16, 400, 8192
+SAMPLE, FAN, LEAF, BIN = 20_000, 16, 50, 8192
 CALIBRATE, RECALL = 96, 0.97
 
 
@@ -179,8 +180,10 @@ def usable_vectors(table: DataFrame) -> DataFrame:
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & sound)
     rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    common = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).head(1)
-    return rows.filter(F.size("vec") == (common[0]["n"] if common else 0))
+    least, most = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least == most:
+        return rows
+    return rows.select("vec_id", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec"))).alias("vec"))
 
 
 def search(table: DataFrame, queries, k: int = K, recall: float = RECALL) -> DataFrame:

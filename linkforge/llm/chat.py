@@ -1,7 +1,8 @@
 """Chat formatting in Spark expressions only.
 
-A conversation's rows are collected as structs and sorted by (turn, role, text), nulls last; adjacent turns of one
-role are merged into one block by an array aggregation; blocks are concatenated:
+A conversation's rows are collected as structs and sorted by (turn, role, text), nulls last. A run of turns of one role
+is a block: the places where the role changes cut the sorted array into slices, and each slice's texts are aggregated
+into one text (array_join). Blocks are concatenated:
 
     <|start|>role<|msg|>text[<|next|>text ...]<|end|>
 
@@ -38,12 +39,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted for rows (conv_id, turn, role, text)."""
     one = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # A turn opens a block unless the one before has its role; the same test on its right closes it.
-    at = lambda i: F.get(F.col("turns"), i)
-    opens = lambda t, i: F.when((i > 0) & (at(i - 1)["role"] == t["role"]), F.lit(NEXT)).otherwise(F.concat(F.lit(START), escape(t["role"]), F.lit(MSG)))
-    closes = lambda t, i: F.when((i + 1 < F.size("turns")) & (at(i + 1)["role"] == t["role"]), F.lit("")).otherwise(F.lit(END))
-    pieces = F.transform("turns", lambda t, i: F.concat(opens(t, i), escape(t["text"]), closes(t, i)))
-    return sorted_.select("conv_id", F.concat_ws("", pieces).alias("formatted"))
+    merged = sorted_.select("conv_id", merge_runs(F.col("turns")).alias("blocks"))
+    return merged.select("conv_id", F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(START), escape(b["role"]), F.lit(MSG), b["text"], F.lit(END))), "").alias("formatted"))
+
+
+def merge_runs(turns: Column) -> Column:
+    """array<struct<role, text>>: one block for each run of turns of one role, its escaped texts joined by the turn separator."""
+    places, role = F.sequence(F.lit(0), F.size(turns) - 1), lambda i: F.get(turns, i)["role"]
+    first = F.filter(places, lambda i: (i == 0) | (role(i - 1) != role(i)))
+    last = F.filter(places, lambda i: (i + 1 == F.size(turns)) | (role(i) != role(i + 1)))
+    texts = lambda a, b: F.transform(F.slice(turns, a + 1, b - a + 1), lambda t: escape(t["text"]))
+    return F.zip_with(first, last, lambda a, b: F.struct(role(a).alias("role"), F.array_join(texts(a, b), NEXT).alias("text")))
 
 
 def read_turns(formatted: Column) -> Column:

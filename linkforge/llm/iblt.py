@@ -1,38 +1,56 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs at line ends and those into sentences; each piece, with its white space folded
-and the number of equal pieces before it, is hashed to 64 bits. A sketch is an array of cells (count, exclusive-or
-of digests, exclusive-or of their check hashes); each digest goes to three cells, one in each third of the
-array. The sketches of two versions subtract cell by cell; what both have cancels, and peeling cells that hold
-one digest recovers the digests that differ. When peeling gets stuck, both are sketched again with larger
-arrays. The likeness of two texts is Dice's: twice the shared pieces over all pieces of both, 1 for two texts
+A text is cut into paragraphs at line ends, and paragraphs of several sentences into those as well, so that an edit inside a
+paragraph is seen too; each piece, with its white space folded and the number of equal pieces before it, is hashed to
+64 bits. A fingerprint is the number of digests and an array of cells (count, exclusive-or of digests, exclusive-or of
+their check hashes); each digest goes to three cells, one in each third of the array. Fingerprints of two versions
+subtract cell by cell; what both have cancels, and peeling cells that hold one digest recovers the digests that differ
+(compare_fingerprints() does so from the published strings alone). When peeling gets stuck, both texts are sketched again
+with larger arrays. The likeness of two texts is Dice's: twice the shared pieces over all pieces of both, 1 for two texts
 without any.
 
 fingerprint_documents() pairs each document with the next one in descending doc_id (after the last: the first);
-ties go by text. A null text counts as empty. A null doc_id comes last. The texts are shuffled once, by ranges of
-doc_id; the first document of each range also goes to the range before, so that a task meets its rows' next
-documents as a stream and holds two texts and a bounded batch of digests.
+ties go by the text's digest. A null text counts as empty. A null doc_id comes last. Repeated rows are documents of their
+own. The texts are shuffled once, by ranges of (doc_id, digest) of even bytes, as many as the bytes need; the first document
+of each range also goes to the range before, so that a task meets its rows' next documents as a stream and holds two texts and a
+bounded batch of digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import read_table, width
+from linkforge.llm.common import checkpointed, read_table, width
 
 #: Cells of the fingerprint that is returned; a multiple of 3.
 CELLS = 24
 #: Rows that a task peels together, and digests after which it stops adding rows.
 BATCH_ROWS, BATCH_DIGESTS = 512, 1 << 18
-PIECE = regex.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
+SENTENCE = regex.compile(r"[^.!?]+[.!?]*|[.!?]+")
+#: Bytes of text that a range is meant to hold.
+RANGE_BYTES = 1 << 28
+
+
+def pieces(text: str) -> list[str]:
+    """Paragraphs, and after each the sentences that it has more than one of; white space folded, empty ones left out."""
+    out = []
+    for paragraph in text.split("\n"):
+        whole = " ".join(paragraph.split())
+        if whole:
+            out.append(whole)
+            parts = [p for x in SENTENCE.findall(whole) if (p := x.strip())]
+            if len(parts) > 1:
+                out += parts
+    return out
 
 
 def digests(text: str) -> np.ndarray:
@@ -40,12 +58,10 @@ def digests(text: str) -> np.ndarray:
     seen: dict[str, int] = {}
     out = []
     digest = xxhash.xxh64_intdigest
-    for piece in PIECE.findall(text):
-        piece = " ".join(piece.split())
-        if piece:
-            n = seen.get(piece, 0)
-            seen[piece] = n + 1
-            out.append(digest(piece, n))
+    for piece in pieces(text):
+        n = seen.get(piece, 0)
+        seen[piece] = n + 1
+        out.append(digest(piece, n))
     return np.array(out, dtype=np.uint64)
 
 
@@ -56,6 +72,10 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def _check(keys: np.ndarray) -> np.ndarray:
+    return _mix(keys, 99) >> np.uint64(32)
+
+
 class Sketches:
     """Many sketches side by side: sketch k has cells[k] cells, a multiple of 3."""
 
@@ -70,75 +90,94 @@ class Sketches:
         base = self.start[owner].astype(np.uint64)
         return np.stack([base + np.uint64(t) * third + _mix(keys, t + 1) % third for t in range(3)]).astype(np.int64)
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], cells: np.ndarray) -> Sketches:
+        out = cls(cells)
+        out.add(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate([np.zeros(0, np.uint64), *sets]), 1)
+        return out
+
     def add(self, owner: np.ndarray, keys: np.ndarray, sign) -> None:
-        at, check = self.places(owner, keys), _mix(keys, 99)
+        at, check = self.places(owner, keys), _check(keys)
         for row in at:
             np.add.at(self.count, row, sign)
             np.bitwise_xor.at(self.keys, row, keys)
             np.bitwise_xor.at(self.checks, row, check)
 
-    def subtract(self, other: Sketches) -> None:
-        self.count -= other.count
-        self.keys ^= other.keys
-        self.checks ^= other.checks
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.cells)
+        out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
+        return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owners and signs of the digests recovered; whether each sketch came out empty."""
-        owners, signs = [], []
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owners, digests and signs of what is recovered, taken out of the cells; whether each sketch came out empty."""
+        owners, keys, signs = [], [], []
         number = np.repeat(np.arange(len(self.cells)), self.cells)
         look = np.arange(len(self.count))
         while len(look):
-            pure = look[(np.abs(self.count[look]) == 1) & (self.checks[look] == _mix(self.keys[look], 99))]
+            pure = look[(np.abs(self.count[look]) == 1) & (self.checks[look] == _check(self.keys[look]))]
             if not len(pure):
                 break
             who, key, sign = number[pure], self.keys[pure], self.count[pure]
             _, one = np.unique(np.stack([who.astype(np.uint64), key]), axis=1, return_index=True)
             who, key, sign = who[one], key[one], sign[one]
             owners.append(who)
+            keys.append(key)
             signs.append(sign)
             look = np.unique(self.places(who, key))
             self.add(who, key, -sign)
         full = np.zeros(len(self.cells), dtype=bool)
         full[number[(self.count != 0) | (self.keys != 0) | (self.checks != 0)]] = True
         empty = np.zeros(0, np.int64)
-        return np.concatenate(owners or [empty]), np.concatenate(signs or [empty]), ~full
+        return np.concatenate(owners or [empty]), np.concatenate(keys or [empty.astype(np.uint64)]), np.concatenate(signs or [empty]), ~full
+
+    def text(self, k: int, n: int) -> str:
+        """Sketch k of n digests as a string: n, and each cell's count, digests and checks, in hexadecimal."""
+        at = slice(self.start[k], self.start[k + 1])
+        return f"{n:x}:" + " ".join(f"{c:x}.{key:016x}.{check:08x}" for c, key, check in zip(self.count[at].tolist(), self.keys[at].tolist(), self.checks[at].tolist(), strict=True))
 
 
-def sketch_text(keys: np.ndarray, cells: int = CELLS) -> str:
-    """A fingerprint as text: the number of digests and each cell's count and exclusive-or in hexadecimal."""
-    one = Sketches(np.array([cells]))
-    one.add(np.zeros(len(keys), np.int64), keys, 1)
-    return f"{len(keys):x}:" + "".join(f"{c:x}.{k:016x}" for c, k in zip(one.count.tolist(), one.keys.tolist(), strict=True))
+def parse_fingerprint(text: str) -> tuple[int, Sketches]:
+    """A published fingerprint's number of digests and its sketch."""
+    n, cells = text.split(":")
+    rows = [c.split(".") for c in cells.split(" ")]
+    out = Sketches(np.array([len(rows)]))
+    out.count = np.array([int(c, 16) for c, _, _ in rows], dtype=np.int64)
+    out.keys = np.array([int(k, 16) for _, k, _ in rows], dtype=np.uint64)
+    out.checks = np.array([int(h, 16) for _, _, h in rows], dtype=np.uint64)
+    return int(n, 16), out
 
 
-def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[tuple[int, int]]:
-    """For each pair of digest sets: how many only the first and only the second has."""
+def compare_fingerprints(a: str, b: str) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Digests that only a's, and only b's text has, and the likeness; None if these cells are too few for what differs."""
+    (n, x), (m, y) = parse_fingerprint(a), parse_fingerprint(b)
+    _, keys, signs, done = x.minus(y).peel()
+    if not done[0]:
+        return None
+    return keys[signs > 0], keys[signs < 0], likeness(n, m, int((signs > 0).sum()))
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]], first: tuple[Sketches, Sketches] | None = None) -> list[tuple[int, int]]:
+    """For each pair of digest sets: how many only the first and only the second has. first: the sketches to begin with."""
     out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
     todo = np.arange(len(pairs))
-    sizes = np.full(len(pairs), cells)
+    sizes = np.full(len(pairs), CELLS)
     while len(todo):
-        both = []
-        for side in (0, 1):
-            sets = [pairs[k][side] for k in todo.tolist()]
-            sketch = Sketches(sizes)
-            sketch.add(np.repeat(np.arange(len(todo)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.uint64), 1)
-            both.append(sketch)
-        both[0].subtract(both[1])
-        owner, sign, done = both[0].peel()
+        a, b = first or (Sketches.of([pairs[k][side] for k in todo.tolist()], sizes) for side in (0, 1))
+        owner, _, sign, done = a.minus(b).peel()
         mine = np.bincount(owner[sign > 0], minlength=len(todo))
         yours = np.bincount(owner[sign < 0], minlength=len(todo))
         for at in np.flatnonzero(done).tolist():
             out[todo[at]] = int(mine[at]), int(yours[at])
-        todo, sizes = todo[~done], sizes[~done]
+        todo, sizes, first = todo[~done], sizes[~done], None
         # At most as many digests differ as both have; 1.5 cells for each are enough as a rule.
         most = np.array([len(pairs[k][0]) + len(pairs[k][1]) for k in todo.tolist()], dtype=np.int64)
         sizes = 3 * np.where(sizes < 1.5 * most, most // 2 + 4, sizes * 2 // 3)
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, only_a: int) -> float:
-    total = len(a) + len(b)
-    return 2 * (len(a) - only_a) / total if total else 1.0
+def likeness(a: int, b: int, only_a: int) -> float:
+    """Dice's, of a and b pieces of which only_a aren't shared."""
+    return 2 * (a - only_a) / (a + b) if a + b else 1.0
 
 
 def edited(text: str, after: str) -> str:
@@ -151,9 +190,12 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _finish(rows: list[tuple]) -> pa.RecordBatch:
-    near_edited = [likeness(a, e, d) for (_, _, _, a, e, _), (d, _) in zip(rows, differences([(r[3], r[4]) for r in rows]), strict=True)]
-    near_next = [likeness(a, b, d) for (_, _, _, a, _, b), (d, _) in zip(rows, differences([(r[3], r[5]) for r in rows]), strict=True)]
-    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array([sketch_text(r[3]) for r in rows]), pa.array([sketch_text(r[4]) for r in rows]), pa.array(near_edited, pa.float64()), pa.array(near_next, pa.float64())]
+    """Rows (doc_id, n_chars, edited_sha256, own, edited, next digests): likeness comes from subtracting the fingerprints."""
+    cells = np.full(len(rows), CELLS)
+    own, new, after = (Sketches.of([r[k] for r in rows], cells) for k in (3, 4, 5))
+    near = [[likeness(len(r[3]), len(r[k]), only) for r, (only, _) in zip(rows, differences([(r[3], r[k]) for r in rows], (own, other)), strict=True)] for k, other in ((4, new), (5, after))]
+    texts = [[sketch.text(i, len(r[k])) for i, r in enumerate(rows)] for k, sketch in ((3, own), (4, new))]
+    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), *map(pa.array, texts), *(pa.array(x, pa.float64()) for x in near)]
     return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -179,46 +221,48 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _finish(rows)
 
 
-#: Ranges of doc_id; each begins at a quantile that Spark estimates.
-MOST_RANGES = 4096
+def _cuts(keys: DataFrame, ranges: int, total: int) -> list:
+    """The first place of each range, in order, of keys(place, bytes): ranges of even bytes. As many rows as ranges reach the driver."""
+    # Numbered by slices first, then inside each, so that no task orders all rows.
+    sliced = checkpointed(keys.repartitionByRange(ranges, "place").withColumn("slice", F.spark_partition_id()))
+    sums = sliced.groupBy("slice").agg(F.sum("bytes").alias("of_slice"))
+    starts = sums.select("slice", (F.sum("of_slice").over(Window.orderBy("slice")) - F.col("of_slice")).alias("start"))
+    before = F.sum("bytes").over(Window.partitionBy("slice").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    placed = sliced.withColumn("before", before).join(starts, "slice")
+    part = F.floor((F.col("start") + F.col("before")) * F.lit(ranges) / F.lit(total))
+    return [r["place"] for r in placed.groupBy(part.alias("part")).agg(F.min("place").alias("place")).select("place").distinct().orderBy("place").collect()]
+
+
+def _range_of(place: Column, cuts: Column, n: int) -> Column:
+    """How many of the n ascending cuts, but the first, are at or before place: bisection by powers of two."""
+    steps = [1 << k for k in reversed(range(max(1, n.bit_length())))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step < F.lit(n)) & (F.get(cuts, at + step) <= place), at + step).otherwise(at))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SCHEMA's columns for every row of docs(doc_id, text); see the module's text."""
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
-    ranges = min(max(width(spark), 2), MOST_RANGES)
-    cuts = sorted({int(x) for x in ids.agg(F.percentile_approx("id", F.lit([i / ranges for i in range(1, ranges)]), 100 * ranges)).first()[0] or []})
-    part_of = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c >= F.col("id"))) if len(cuts) <= 64 else F.expr(_bisect(cuts))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Descending order: part 0 holds the ids above every cut. Ties go by the text's digest, so the first of a
-    # part is known by (id, digest) before texts move; there are as many as ranges.
-    place = F.struct(F.bitwise_not("id").alias("order"), F.sha2("text", 256).alias("tie"))
-    firsts = base.select(part_of.alias("part"), place.alias("place")).groupBy("part").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    if not firsts:
+    # Descending order: the complement of an id ascends. Ties go by the text's digest, so equal places have equal texts.
+    order = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(order.alias("order"), F.sha2(text, 256).alias("tie")).alias("place"))
+    keys = checkpointed(base.select("place", (F.octet_length("text") + 64).cast("long").alias("bytes")))
+    total = keys.agg(F.sum("bytes")).first()[0]
+    if not total:
         return spark.createDataFrame([], SCHEMA)
-    before = {firsts[i]["part"]: firsts[i - 1]["part"] for i in range(len(firsts))}
-    heads = spark.createDataFrame([(f["part"], f["place"]["order"], f["place"]["tie"], before[f["part"]]) for f in firsts], "part int, order long, tie string, guest_of int")
-    keyed = base.select("doc_id", "text", part_of.alias("part"), place.alias("place"))
-    # Equal texts under one doc_id are the same first row: any of them gives the same next text.
-    guests = keyed.join(F.broadcast(heads), (keyed["part"] == heads["part"]) & (F.col("place.order") == heads["order"]) & (F.col("place.tie") == heads["tie"]))
-    guests = guests.groupBy("guest_of").agg(F.any_value("text").alias("text")).select(F.col("guest_of").alias("part"), F.lit(1).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "text", F.struct(F.lit(0).cast("long").alias("order"), F.lit("").alias("tie")).alias("place"))
-    own = keyed.select("part", F.lit(0).alias("guest"), F.col("doc_id").cast("long").alias("doc_id"), "text", "place")
-    rows = own.unionByName(guests).repartition(ranges, "part").sortWithinPartitions("part", "guest", "place")
+    ranges = max(width(spark), -(-total // range_bytes))
+    cuts = _cuts(keys, ranges, total)
+    n = len(cuts)
+    # A constant of the plan: one array, as long as there are ranges, that each task looks a place up in.
+    held = F.from_json(F.lit(json.dumps([{"order": c["order"], "tie": c["tie"]} for c in cuts])), "array<struct<order: bigint, tie: string>>")
+    keyed = base.withColumn("part", _range_of(F.col("place"), held, n))
+    # The first text of each range is the range before's last row's next.
+    guests = keyed.filter(F.col("place") == F.get(held, F.col("part"))).groupBy("part").agg(F.any_value("text").alias("text"))
+    guests = guests.select(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(1).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("struct<order: bigint, tie: string>").alias("place"))
+    own = keyed.select("part", F.lit(0).alias("guest"), "doc_id", "text", "place")
+    rows = own.unionByName(guests).repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", "place")
     return rows.select("part", "guest", "doc_id", "text").mapInArrow(_stream, SCHEMA)
 
 
-def _bisect(cuts: list[int]) -> str:
-    """How many cuts are at or above id, by nested comparisons (their depth is logarithmic)."""
-
-    def tree(a: int, b: int) -> str:
-        if a == b:
-            return str(len(cuts) - a)
-        mid = (a + b) // 2
-        return f"if(id > {cuts[mid]}, {tree(mid + 1, b)}, {tree(a, mid)})"
-
-    return tree(0, len(cuts))
-
-
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))

@@ -9,13 +9,15 @@ attempt leaves nothing behind; between records it puts an empty gzip member, whi
 pass over.
 
 salvage(): reads records one by one, plain or compressed. Each must inflate with a right checksum, begin with a version
-line, have a length that ends at a blank line, and match its digests. After a failed check the reader searches for the
+line, have a length that ends at a blank line, and match its block digest and, where it holds its payload, its payload digest. After a failed check the reader searches for the
 next gzip member or version line from which a record passes them all, goes on from there, and logs the bytes in
 between as a quarantined gap with the reason. Inside a member it goes on at the next version line in the inflated bytes;
 a member that is cut off or damaged keeps its records before that (if damaged, those with digests). Nothing else is skipped.
 
 read_archives() reads whole files as Spark's binary source gives them; an archive holds RECORDS records at most as
-written here, and one is held by a task at a time.
+written here, and one is held by a task at a time. A revisit's length and digest are what its header claims until
+unresolved() finds the response that it refers to, with that digest and length. op4_warc fails if a gap or an unresolved
+revisit is left: a page can't get lost unseen. An empty table gives no records; repeated page_ids are records of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import ensure_checkpoint_dir, map_batches, read_table
+from linkforge.llm.common import checkpointed, map_batches, read_table, scratch_folder
 
 LEAST, RECORDS = 100, 5000
 DATE = "2024-01-01T00:00:00Z"
@@ -116,9 +117,17 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:].lower():
         raise Unsound("block digest differs")
+    digest = headers.get("warc-payload-digest", "")
+    if digest.startswith("sha256:") and headers.get("warc-type") != "revisit" and hashlib.sha256(_payload(headers, block)).hexdigest() != digest[7:].lower():
+        raise Unsound("payload digest differs")
     return headers, block, end + 4
 
 
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    """A record's payload: an HTTP message's body, any other block whole."""
+    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+
+
 def _inflate(data: bytes, at: int, most: float = float("inf")) -> tuple[bytes, int, str]:
     """What the gzip member at `at` holds, `most` bytes of it or a little more, where that ends, and why not all of it came out."""
     unpacker, parts, size, pos, step = zlib.decompressobj(31), [], 0, at, 1 << 16
@@ -221,13 +230,13 @@ PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
 def _row(r: Record) -> tuple:
     """type, page_id, url, payload_bytes, payload_digest, refers_to of a record as it was read."""
-    head, _, body = r.block.partition(b"\r\n\r\n")
     kind = r.headers.get("warc-type", "")
     page, other = (PAGE.fullmatch(r.headers.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
     if kind == "revisit":
-        m = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        m = re.search(rb"(?im)^content-length:\s*(\d+)", r.block.partition(b"\r\n\r\n")[0])
         size, digest = int(m[1]) if m else None, r.headers.get("warc-payload-digest", "").removeprefix("sha256:").lower()
     else:
+        body = _payload(r.headers, r.block)
         size, digest = len(body), hashlib.sha256(body).hexdigest()
     return kind, int(page[1]) if page else None, r.headers.get("warc-target-uri"), size, digest, int(other[1]) if other else None
 
@@ -274,10 +283,24 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS) -> None:
     members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) that revisits claim and no response among read_archives()'s rows has."""
+    key = ["refers_to", "payload_digest", "payload_bytes"]
+    # What many revisits refer to is one row before it is looked for.
+    asked = records.filter("record_type = 'revisit'").select(*key).distinct()
+    there = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *key[1:])
+    return asked.join(there, key, "left_anti")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "warc") + "/archives"
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).filter("quarantined is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = checkpointed(read_archives(spark, path))
+    if lost := read.filter("quarantined is not null").head(1):
+        raise ValueError(f"{lost[0]['archive']}: {lost[0]['length']} bytes at {lost[0]['offset']} were quarantined: {lost[0]['quarantined']}")
+    if lost := unresolved(read).head(1):
+        raise ValueError(f"no response for a revisit of {lost[0]['refers_to']}, sha256 {lost[0]['payload_digest']}")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = f"""

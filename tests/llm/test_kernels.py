@@ -1,6 +1,8 @@
 """Operators against brute force and libraries, without Spark."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +43,12 @@ def test_sketches_recover_differences():
         common, a, b = (draw.integers(1, 1 << 63, size=k, dtype=np.uint64) for k in (n, n // 2, n))
         pairs.append((np.concatenate([common, a]), np.concatenate([common, b])))
     assert iblt.differences(pairs) == [(n // 2, n) for n in (0, 1, 5, 40, 3000)]
+    few = [np.sort(draw.integers(1, 1 << 63, size=k, dtype=np.uint64)) for k in (9, 2, 3)]
+    a, b = np.concatenate([few[0], few[1]]), np.concatenate([few[0], few[2]])
+    x, y = (iblt.Sketches.of([k], np.array([iblt.CELLS])).text(0, len(k)) for k in (a, b))
+    only_a, only_b, near = iblt.compare_fingerprints(x, y)
+    assert sorted(only_a) == few[1].tolist() and sorted(only_b) == few[2].tolist() and near == 18 / 23
+    assert iblt.compare_fingerprints(x, iblt.Sketches.of([draw.integers(1, 1 << 63, size=500, dtype=np.uint64)], np.array([iblt.CELLS])).text(0, 500)) is None
     assert iblt.edited("abcdef", "XY") == "abcXY" and iblt.edited("abc", "") == "ab"
 
 
@@ -57,8 +65,81 @@ def test_html_of_many_kinds():
     assert html_extract.extract(plain).split("\n")[-2:] == ["Some long enough text, with commas, to win the score of this page.", "More of it."]
 
 
+def _page(body):
+    return html_extract.extract(f"<html><body>{body}</body></html>").split("\n")
+
+
+def test_class_words_lower_a_score_but_remove_no_holder_of_the_text():
+    assert _page('<div class="content-with-sidebar"><h1>T</h1><p>One, two, three.</p><p>Four.</p></div>') == ["T", "One, two, three.", "Four."]
+    assert _page('<main><article class="post-with-comments"><h1>T</h1><p>One, two.</p></article></main>') == ["T", "One, two."]
+    assert _page('<main><article class="commented comments"><h1>T</h1><p>One, two.</p></article></main>') == ["T", "One, two."]
+    assert _page('<div id="comment-policy"><h1>Policy</h1><p>Be nice, be kind.</p></div>') == ["Policy", "Be nice, be kind."]
+    assert _page('<article><div class="entry-header"><h1>T</h1><p>by A</p></div><p>One, two.</p><p class="discussion">Three.</p></article>') == ["T", "One, two.", "Three."]
+    assert _page('<form id="page"><div><h1>T</h1><p>One, two.</p></div><div class="sidebar"><p>x</p></div></form>') == ["T", "One, two."]
+    assert _page("<div hidden><p>only text</p></div>") == ["only text"]
+
+
+def test_siblings_and_lists_are_kept_and_comments_are_not():
+    text = "Many words, with commas, and more, and more, of them, to score, well, enough."
+    two = f"<article><h2>A</h2><p>{text}</p></article><article><h2>B</h2><p>{text}</p></article><article class='comment'><p>{text}</p></article>"
+    assert _page(two) == ["A", text, "B", text]
+    links = "<ul><li><a href=a>Smith 2001</a><li><a href=b>Jones 2002</a><li><a href=c>Doe 2003</a></ul>"
+    assert _page(f"<article><h1>T</h1><p>{text}</p><h2>References</h2>{links}</article>") == ["T", text, "References", "Smith 2001", "Jones 2002", "Doe 2003"]
+    assert _page(f"<article>{links}<h1>T</h1><p>{text}</p></article>") == ["T", text]
+    talk = "<p>first! nice, nice, post</p>"
+    for comments in (f"<h3>Comments (3)</h3>{talk}", f"<section><h3>Reader comments</h3>{talk}</section>", f'<div class="reader-notes">{talk}</div>', f'<div id="comments">{talk}</div>'):
+        assert _page(f"<article><h1>T</h1><p>{text}</p>{comments}</article>") == ["T", text]
+        assert _page(f"<main><article><h1>T</h1><p>{text}</p></article>{comments}</main>") == ["T", text]
+
+
+def test_scores_by_brute_force():
+    draw = random.Random(4)
+    for _ in range(60):
+        todo, page = draw.randint(5, 60), []
+        open_ = []
+        for _ in range(todo):
+            tag = draw.choice(["div", "section", "div class=comments", "p", "p", "article", "blockquote", "/"])
+            if tag == "/" and open_:
+                page.append(f"</{open_.pop()}>")
+            elif tag == "p":
+                page.append("<p>" + "word, word " * draw.randint(0, 40) + "</p>")
+            elif tag != "/":
+                page.append(f"<{tag}>")
+                open_.append(tag.split()[0])
+        root = html_extract.parse("".join(page))
+        order = html_extract._prepare(root)
+        want = {}
+        for node in order:  # from the container's side: every paragraph below it, by its distance
+            chain_of = lambda x: [] if x is None else [x, *chain_of(x.parent)]
+            total = html_extract.BASE_SCORE.get(node.tag, 0.0)
+            for para in order:
+                words = html_extract._own_text(para)
+                if para.tag not in ("p", "blockquote") or not words or node is para or node not in chain_of(para):
+                    continue
+                up = chain_of(para)
+                level = up.index(node) - 1
+                doubts = sum(bool(x.doubt) for x in up[: level + 2])
+                if level < 6:
+                    total += (1 + len(re.findall(",", words)) + min(len(words) // 100, 3)) * html_extract.DOUBTED**doubts / max(1, 2 * level)
+            want[id(node)] = total
+        html_extract._score(order)
+        assert all(abs(n.score - want[id(n)]) < 1e-9 for n in order)
+
+
+def _response(page_id, payload):
+    return warc.record(page_id, f"http://x/{page_id}", payload, hashlib.sha256(payload).hexdigest(), len(payload), None)
+
+
+def test_salvage_checks_both_digests():
+    wrong = warc.record(1, "u", b"page", hashlib.sha256(b"another").hexdigest(), 4, None)
+    found = list(warc.salvage(_response(0, b"a") + wrong + _response(2, b"b")))
+    assert [x.reason if isinstance(x, warc.Gap) else x.headers["warc-record-id"] for x in found] == ["<urn:page:0>", "payload digest differs", "<urn:page:2>"]
+    block = _response(1, b"page").replace(b"page", b"pagf")
+    assert [x.reason for x in warc.salvage(block)] == ["block digest differs"]
+
+
 def test_salvage_recovers_later_records():
-    records = [warc.record(i, f"http://x/{i}", f"payload {i}".encode() * 50, "d", 0, None) for i in range(6)]
+    records = [_response(i, f"payload {i}".encode() * 50) for i in range(6)]
     members = [warc._member(r) for r in records]
     whole = warc.EMPTY_MEMBER.join(members)
     assert len(list(warc.salvage(whole))) == 6
@@ -78,7 +159,7 @@ def test_salvage_recovers_later_records():
 
 
 def test_salvage_inside_members():
-    records = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(3000), "d", 0, None) for i in range(5)]
+    records = [_response(i, random.Random(i).randbytes(3000)) for i in range(5)]
     bad = records[1].replace(b"Content-Length: ", b"Content-Length: 9", 2)
     name = lambda x: x.reason.split(";")[0] if isinstance(x, warc.Gap) else x.headers["warc-record-id"][10:-1]
     length = "length does not end at the record's end"
