@@ -7,120 +7,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from linkforge.functions import edit as E
 
-def _masks(a: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, c in enumerate(a):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
-
-def _lcs(masks: dict[str, int], n: int, b: str) -> int:
-    """Longest common subsequence by bit vectors (Hyyro 2004)."""
-    full = (1 << n) - 1
-    s = full
-    for c in b:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return n - s.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """200 * LCS / (len a + len b); 100 for two empty strings."""
-    total = len(a) + len(b)
-    return 100.0 if not total else 200.0 * _lcs(_masks(a), len(a), b) / total
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and not (left and right):
-        return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = ratio(one, two)
-    if both:
-        best = max(best, ratio(both, one), ratio(both, two))
-    return best
-
-
-def _partial(a: str, b: str) -> float:
-    """a no longer than b: the best ratio of a with a window of b, cut-off windows at both ends included."""
-    masks, n, best = _masks(a), len(a), 0.0
-    for begin in range(1 - n, len(b)):
-        window = b[max(begin, 0) : begin + n]
-        best = max(best, 200.0 * _lcs(masks, n, window) / (n + len(window)))
-        if best == 100.0:
-            break
-    return best
-
-
-def partial_ratio(a: str, b: str) -> float:
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    return _partial(a, b) if len(a) < len(b) else max(_partial(a, b), _partial(b, a))
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    """Prefix scale 0.1 over 4 characters at most, added above a Jaro of 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, left = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    m = len(left)
-    swaps = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * same * (1 - jaro)
-
-
-def pair_udf(measure: Callable[[str, str], float], scale: float = 1.0, both_empty: float | None = None):
-    """An Arrow UDF of two string columns; both_empty overrides the value of two empty strings."""
+
+def _single(measure: Callable) -> Callable[[str, str], float]:
+    """A batch measure for one pair."""
+    at = np.zeros(1, dtype=np.int64)
+    return lambda a, b: float(measure([a], [b], at, at)[0])
+
+
+ratio, token_sort_ratio, token_set_ratio, partial_ratio = map(_single, (E.ratio, E.token_sort_ratio, E.token_set_ratio, E.partial_ratio))
+jaro_winkler = _single(E.jaro_winkler)
+
+
+def pair_udf(measure: Callable, scale: float = 1.0, both_empty: float | None = None):
+    """An Arrow UDF of two string columns by a batch measure; both_empty overrides the value of two empty strings.
+
+    Each distinct pair of a batch is measured once: joins repeat them.
+    """
 
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}  # one batch: joins repeat pairs
-        out = []
-        for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
-            if (x, y) not in known:
-                known[x, y] = both_empty if both_empty is not None and not x and not y else measure(x, y) / scale
-            out.append(known[x, y])
-        return pd.Series(out, dtype="float64")
+        (x, left), (y, right) = pd.factorize(a.fillna("")), pd.factorize(b.fillna(""))
+        left, right = list(left), list(right)
+        pairs, of = np.unique(x.astype(np.int64) * max(len(right), 1) + y, return_inverse=True)
+        i, j = np.divmod(pairs, max(len(right), 1))
+        found = measure(left, right, i, j) / scale
+        if both_empty is not None:
+            empty = np.array([not s for s in left], dtype=bool)[i] & np.array([not s for s in right], dtype=bool)[j]
+            found = np.where(empty, both_empty, found)
+        return pd.Series(found[of], dtype="float64")
 
     return run
 
 
-TOKEN_SORT = pair_udf(token_sort_ratio, 100.0, 0.0)
-TOKEN_SET = pair_udf(token_set_ratio, 100.0, 0.0)
-PARTIAL = pair_udf(partial_ratio, 100.0, 0.0)
-RATIO = pair_udf(ratio, 100.0)
-JARO = pair_udf(jaro_winkler, 1.0, 0.0)
+TOKEN_SORT = pair_udf(E.token_sort_ratio, 100.0, 0.0)
+TOKEN_SET = pair_udf(E.token_set_ratio, 100.0, 0.0)
+PARTIAL = pair_udf(E.partial_ratio, 100.0, 0.0)
+RATIO = pair_udf(E.ratio, 100.0)
+JARO = pair_udf(E.jaro_winkler, 1.0, 0.0)
 #: First generation: two empty strings are alike.
-TOKEN_SORT_A, PARTIAL_A, JARO_A = pair_udf(token_sort_ratio, 100.0), pair_udf(partial_ratio, 100.0), pair_udf(jaro_winkler, 1.0, 1.0)
+TOKEN_SORT_A, PARTIAL_A, JARO_A = pair_udf(E.token_sort_ratio, 100.0), pair_udf(E.partial_ratio, 100.0), pair_udf(E.jaro_winkler, 1.0, 1.0)
+#: Second generation: two empty strings are unlike as token sets, alike in parts.
+TOKEN_SET_B = pair_udf(E.token_set_ratio, 100.0)
 
 
 def _count(a: Column) -> Column:

@@ -95,13 +95,13 @@ def addr_form_v1(plain: Column) -> Column:
 
 
 def text_form_a(plain: Column, kind: str) -> Column:
-    return rewrite(_squash(plain), D.SUFFIX_A if kind == "name" else D.ADDRESS_A)
+    return rewrite(_squash(plain), D.SUFFIX_A if kind == "name" else D.SUFFIX_A | D.ADDRESS_A)
 
 
 def views_b(plain_name: Column, plain_addr: Column) -> dict[str, Column]:
     """The four views of the second generation: basic, alphanumeric, legal name, address."""
-    basic = F.trim(F.regexp_replace(plain_name, r"\s+", " "))
-    return {"name_basic": basic, "name_alnum": _squash(plain_name), "name_legal": rewrite(_squash(plain_name), D.LEGAL_B), "addr_norm": rewrite(_squash(plain_addr), D.STREET_B)}
+    basic = F.trim(F.regexp_replace(F.regexp_replace(plain_name, r"\s*&\s*", " and "), r"\s+", " "))
+    return {"name_basic": basic, "name_alnum": _squash(plain_name), "name_legal": rewrite(_squash(plain_name), D.LEGAL_B), "addr_norm": rewrite(_squash(plain_addr), D.LEGAL_B | D.STREET_B)}
 
 
 def _in(t: Column, values) -> Column:
@@ -159,10 +159,23 @@ def multiplicity_bucket(n: Column) -> Column:
     return F.when(n == 1, "1").when(n <= 3, "2-3").when(n <= 5, "4-5").otherwise("6+")
 
 
-def prepare(records: DataFrame) -> DataFrame:
-    """Records with name_norm, addr_norm and country_key; raw columns stay."""
-    folded = records.withColumns({"__n": fold("business_name"), "__a": fold("business_address"), "__c": nfkc_casefold("country")})
-    return folded.withColumns({"name_norm": name_form(F.col("__n")), "addr_norm": addr_form(F.col("__a")), "country_key": country_key(F.col("__c"))}).drop("__n", "__a", "__c")
+#: By generation: whether accents are folded, and the forms of a name and of an address.
+FORMS = {
+    "v2": (True, name_form, addr_form),
+    "v1": (False, name_form_v1, addr_form_v1),
+    "a": (False, lambda t: text_form_a(t, "name"), lambda t: text_form_a(t, "address")),
+    "b": (False, lambda t: views_b(t, t)["name_legal"], lambda t: views_b(t, t)["addr_norm"]),
+}
+
+
+def prepare(records: DataFrame, generation: str = "v2") -> DataFrame:
+    """Records with name_norm, addr_norm and country_key by a generation's rules, name_key that prefixes are cut from; raw columns stay."""
+    accents, name, addr = FORMS[generation]
+    read = fold if accents else nfkc_casefold
+    folded = records.withColumns({"__n": read("business_name"), "__a": read("business_address"), "__c": nfkc_casefold(F.trim("country"))})
+    n = F.col("__n")
+    prepared = folded.withColumns({"name_norm": name(n), "addr_norm": addr(F.col("__a")), "country_key": country_key(F.col("__c"))})
+    return prepared.withColumn("name_key", _squash(n) if generation == "b" else F.col("name_norm")).drop("__n", "__a", "__c")
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkforge.functions import text as X
+from linkforge.operators.split import id_digest
 
 
 def f05(tp: Column, fp: Column, fn: Column) -> Column:
@@ -101,13 +102,36 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.orderBy(F.desc("macro_f05"), "threshold").limit(1)
 
 
+def joint_curve(s1: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: list[float], gates: list[float], rels: list[float]) -> DataFrame:
+    """threshold, gate, rel, macro F0.5 of every combination for scored(s1, id, prob).
+
+    A pair is joined to its s1's best probability once. What a combination accepts of an s1 is what lies at or above
+    max(threshold, rel * best) if best reaches the gate: counts by threshold and rel are taken in one aggregation, gates follow.
+    """
+    best = scored.groupBy("s1").agg(F.max("prob").alias("best"))
+    marked = scored.select("s1", "id", "prob").join(truth.select("s1", "id", F.lit(1).alias("t")).distinct(), ["s1", "id"], "left").na.fill(0, ["t"]).join(best, "s1")
+    asked = [(t, r) for t in thresholds for r in rels]
+    inside = lambda t, r, k: F.sum(((F.col("prob") >= t) & (F.col("prob") >= r * F.col("best")) & (F.col("t") == k)).cast("int"))
+    per = marked.groupBy("s1").agg(F.first("best").alias("best"), *(inside(t, r, k).alias(f"{name}{i}") for i, (t, r) in enumerate(asked) for name, k in (("tp", 1), ("fp", 0))))
+    n_true = truth.select("s1", "id").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    rows = s1.select("s1").join(n_true, "s1", "left").join(per, "s1", "left").na.fill(0)
+    cell = lambda i, t, r, g: F.struct(F.lit(t).alias("threshold"), F.lit(g).alias("gate"), F.lit(r).alias("rel"), *(F.when(F.col("best") >= g, F.col(f"{k}{i}")).otherwise(0).alias(k) for k in ("tp", "fp")))
+    each = rows.select("n_true", F.explode(F.array(*(cell(i, t, r, g) for i, (t, r) in enumerate(asked) for g in gates))).alias("x")).select("n_true", "x.*")
+    return each.groupBy("threshold", "gate", "rel").agg(F.avg(f05(F.col("tp"), F.col("fp"), F.col("n_true") - F.col("tp"))).alias("macro_f05"))
+
+
+def best_setting(curve: DataFrame) -> DataFrame:
+    """The first of the best combinations, in the order threshold, gate, rel."""
+    return curve.orderBy(F.desc("macro_f05"), "threshold", "gate", "rel").limit(1)
+
+
 def route_attribution(truth: DataFrame, cands: DataFrame) -> DataFrame:
     """route, true links it found, and those it alone found."""
     found = truth.select("s1", "id").distinct().join(cands, ["s1", "id"])
     return found.select(F.explode("routes").alias("route"), (F.size("routes") == 1).cast("int").alias("sole")).groupBy("route").agg(F.count(F.lit(1)).alias("hits"), F.sum("sole").alias("sole_hits"))
 
 
-#: Why a true link is missing, in the order in which it is asked.
+#: Fixed: why a true link is missing, in the order in which it is asked.
 MISSES = ("1_target_absent_from_index", "2_no_shared_retrieval_key", "3_shared_key_not_queried", "4_discarded_by_route_limit", "5_in_pool_below_final_cap")
 
 
@@ -179,6 +203,18 @@ def loss_report(scores: DataFrame, oracle: DataFrame) -> DataFrame:
     )
 
 
+def loss_by_country(s1: DataFrame, scores: DataFrame, oracle: DataFrame) -> DataFrame:
+    """country, n, macro F0.5 and candidate oracle."""
+    j = s1.select("s1", "country").join(scores.select("s1", "f05"), "s1").join(oracle.select("s1", F.col("f05").alias("o")), "s1")
+    return j.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.avg("f05").alias("macro_f05"), F.avg("o").alias("candidate_oracle"))
+
+
+def singleton_losses(scores: DataFrame) -> DataFrame:
+    """One row: singletons, those with false links, and their share of the macro loss."""
+    single = F.col("n_true") == 0
+    return scores.agg(F.sum(single.cast("int")).alias("singletons"), F.sum((single & (F.col("fp") > 0)).cast("int")).alias("false_merge"), (F.sum(F.when(single, 1 - F.col("f05")).otherwise(0.0)) / F.count(F.lit(1))).alias("macro_loss_share"))
+
+
 def rejected_quantiles(truth: DataFrame, scored: DataFrame, threshold: float, shares=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Exact quantiles of the probabilities of true candidates below the threshold."""
     return truth.select("s1", "id").distinct().join(scored, ["s1", "id"]).filter(F.col("prob") < threshold).agg(F.percentile("prob", list(shares)).alias("quantiles"), F.count(F.lit(1)).alias("n"))
@@ -223,6 +259,17 @@ def field_stats(records: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def source_report(records: DataFrame) -> DataFrame:
+    """source, records, unique and duplicate ids, countries."""
+    return records.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_records"), F.countDistinct("entity_id").alias("n_unique_ids"), (F.count(F.lit(1)) - F.countDistinct("entity_id")).alias("n_duplicate_ids"), F.countDistinct("country").alias("n_countries"),
+    )
+
+
+def country_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("source", "country").agg(F.count(F.lit(1)).alias("n"))
+
+
 def truth_report(s1: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: entities, links, singletons, matches in both sources, the empty prediction's F0.5."""
     per = truth.select("s1", "id").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("id").startswith("S2-").cast("int")).alias("a"), F.max(F.col("id").startswith("S3-").cast("int")).alias("b"))
@@ -243,10 +290,20 @@ def noise_examples(truth: DataFrame, s1: DataFrame, targets: DataFrame, k: int =
 
 def false_profile(false_links: DataFrame) -> DataFrame:
     """Shares of false links with each sign of likeness or conflict."""
-    tests = {"name_exact": F.col("name_exact") >= 1, "name_token_sort_ge_09": F.col("name_token_sort") >= 0.9, "addr_token_sort_lt_05": F.col("addr_token_sort") < 0.5, "num_conflict": F.col("num_conflict") >= 1, "country_equal": F.col("country_equal") >= 1}
+    tests = {"name_exact": F.col("name_exact") >= 1, "name_token_sort_ge_09": F.col("name_token_sort") >= 0.9, "addr_token_sort_lt_05": F.col("addr_token_sort") < 0.5, "num_conflict": F.col("num_conflict") >= 1, "long_num_conflict": F.col("long_num_conflict") >= 1, "country_equal": F.col("country_equal") >= 1}
     return false_links.agg(*(F.avg(c.cast("int")).alias(k) for k, c in tests.items()))
 
 
+def assess(s1: DataFrame, truth: DataFrame, cands: DataFrame, links: DataFrame, n_targets: int, ids: DataFrame, digest: str) -> DataFrame:
+    """One row for a frozen policy's links on a frozen slice of ids, whose digest must be the given one: evaluation and candidate diagnostics."""
+    found = id_digest(ids).first()["digest"]
+    if found != digest:
+        raise ValueError(f"the slice's digest is {found}, not {digest}")
+    only = lambda df: df.join(ids.select("s1"), "s1", "left_semi")
+    scores = per_entity(only(s1), only(truth), only(links))
+    return evaluate(scores).crossJoin(candidate_diagnostics(only(s1), only(truth), only(cands), n_targets))  # one row each
+
+
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, with the side; none if two runs agree."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

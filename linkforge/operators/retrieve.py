@@ -24,6 +24,8 @@ ROUTES = ("name", "sig", "prefix", "token", "tok_intersect", "pair", "toknum", "
 
 @dataclass(frozen=True)
 class Variant:
+    """What a generation of retrieval weighs, limits and keeps."""
+
     weights: dict[str, float]
     limits: dict[str, int]
     cap: int
@@ -35,6 +37,8 @@ class Variant:
     rare: float | None = None  # token weight 2 / (1 + bucket / rare)
     tokens: str = "v2"
     neighbours: int = 0  # TF-IDF nearest targets, each adding twice its similarity
+    forms: str = "v2"  # the generation whose normal forms the records have
+    prefix_of: str = "name_norm"
     extra: tuple[str, ...] = field(default_factory=tuple)
 
 
@@ -48,10 +52,11 @@ def _v4(*routes: str) -> Variant:
     return Variant(_V2 | _PAIR | {r: _AUX[r] for r in routes}, _V2_LIMITS | _PAIR_LIMITS | {r: _AUX_LIMITS[r] for r in routes}, 300, 0.55, extra=("pair", *routes))
 
 
+#: Fixed: weights, limits, caps and country factors of each generation.
 VARIANTS = {
-    "a": Variant({"prefix": 1.0, "num": 1.5}, {"prefix": 200, "token": 200, "num": 200}, 80, 0.15, False, False, (3, 1), True, 50.0, "a"),
-    "b": Variant({"name": 5.0, "prefix": 1.0, "num": 1.8}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 60, 0.5, False, False, (3, 1), rare=40.0, tokens="a", neighbours=20),
-    "v1": Variant({"name": 5.0, "prefix": 1.0, "token": 1.5, "num": 2.0}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 50, 0.5, False, False, (3, 1), tokens="v1"),
+    "a": Variant({"prefix": 1.0, "num": 1.5}, {"prefix": 200, "token": 200, "num": 200}, 80, 0.15, False, False, (3, 1), True, 50.0, "a", forms="a"),
+    "b": Variant({"name": 5.0, "prefix": 1.0, "num": 1.8}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 60, 0.5, False, False, (3, 1), rare=40.0, tokens="a", neighbours=20, forms="b", prefix_of="name_key"),
+    "v1": Variant({"name": 5.0, "prefix": 1.0, "token": 1.5, "num": 2.0}, {"name": 40, "prefix": 40, "token": 40, "num": 40}, 50, 0.5, False, False, (3, 1), tokens="v1", forms="v1"),
     "v2": Variant(_V2, _V2_LIMITS, 120, 0.55, balanced=False),
     "v3a": Variant(_V2, _V2_LIMITS, 120, 0.55),
     "v3b": _v4(),
@@ -97,7 +102,7 @@ def query_keys(s1: DataFrame, v: Variant, postings: DataFrame, n: int) -> tuple[
     one = lambda route, k, w: key(route, F.array_compact(F.array(F.when(k != "", k))), w)
     named = name != ""
     parts = [one("name", name, v.weights["name"])] if "name" in v.weights else []
-    parts.append(one("prefix", F.when(named, X.prefix(name, *v.prefix)), v.weights["prefix"]))
+    parts.append(one("prefix", F.when(named, X.prefix(F.col(v.prefix_of), *v.prefix)), v.weights["prefix"]))
     parts.append(key("num", X.nums(addr), v.weights["num"]))
     if "sig" in v.weights:
         parts.append(one("sig", X.sorted_sig(name), v.weights["sig"]))
@@ -163,12 +168,30 @@ def candidates(s1: DataFrame, targets: DataFrame, v: Variant, cap: int | None =
     return ranked.filter(F.col("rank") <= (cap or v.cap))
 
 
-def exact_matches(s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """(s1, id): equal names and equal addresses, or, where one address is missing, equal countries."""
-    t = targets.select("id", "name_norm", F.col("addr_norm").alias("ta"), F.col("country_key").alias("tc"))
-    same = s1.filter("name_norm <> ''").join(t, "name_norm")
-    both = (F.col("addr_norm") != "") & (F.col("ta") != "")
-    return same.filter((both & (F.col("addr_norm") == F.col("ta"))) | (~both & (F.col("country_key") != "") & (F.col("country_key") == F.col("tc")))).select("s1", "id")
+def exact_matches(s1: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """(s1, id): equal names and equal addresses, or, where one address is missing, equal countries.
+
+    Two equi-joins, on name and address and on name and country, so a frequent name alone pairs nothing. limit: only the
+    first so many targets of a name, by source and ord, are looked at.
+    """
+    t = targets.filter("name_norm <> ''")
+    if limit is not None:
+        t = t.withColumn("__at", F.row_number().over(Window.partitionBy("name_norm").orderBy("source", "ord", "id"))).filter(F.col("__at") <= limit)
+    t = t.select("id", "name_norm", F.col("addr_norm").alias("ta"), F.col("country_key").alias("tc"))
+    a, b = s1.select("s1", "name_norm", "addr_norm", "country_key"), t
+    with_addr = a.filter("addr_norm <> ''").join(b.filter("ta <> ''"), (a["name_norm"] == b["name_norm"]) & (F.col("addr_norm") == F.col("ta")))
+    same = (a["name_norm"] == b["name_norm"]) & (F.col("country_key") == F.col("tc"))
+    bare = a.filter("addr_norm = '' and country_key <> ''").join(b, same).select("s1", "id")
+    half = a.filter("addr_norm <> '' and country_key <> ''").join(b.filter("ta = ''"), same).select("s1", "id")
+    return with_addr.select("s1", "id").unionByName(bare).unionByName(half)
+
+
+def exact_among(pairs: DataFrame) -> DataFrame:
+    """(s1, id) of the candidate pairs (na, aa, ca, nb, ab, cb) that match exactly by the same rule."""
+    c = F.col
+    both = (c("aa") != "") & (c("ab") != "")
+    same = (both & (c("aa") == c("ab"))) | (~both & (c("ca") != "") & (c("ca") == c("cb")))
+    return pairs.filter((c("na") != "") & (c("na") == c("nb")) & same).select("s1", "id")
 
 
 def tfidf_knn(s1: DataFrame, targets: DataFrame, k: int = 20, low: int = 3, high: int = 5) -> DataFrame:

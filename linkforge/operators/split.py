@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.operators.graph import min_label_components
+from linkforge.operators.graph import checkpointed, min_label_components
+
+
+#: Draws are below this.
+DRAWS = 1 << 52
 
 
 def draw(*cols: str, seed: int = 42) -> Column:
-    """A seeded number in 0..2^53 of a row's key: the same on every run and partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
+    """A seeded number in 0..DRAWS of a row's key: the same on every run and partitioning, and in any engine that has MD5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *cols).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def add_missed(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def random_split(s1: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """s1 rows with fold val or train by a seeded hash."""
-    return s1.withColumn("fold", F.when(draw("s1", seed=seed) < share * float(1 << 53), "val").otherwise("train"))
+    return s1.withColumn("fold", F.when(draw("s1", seed=seed) < share * float(DRAWS), "val").otherwise("train"))
 
 
 def bounded_sample(s1: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -44,16 +49,16 @@ def bounded_sample(s1: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def components(s1: DataFrame, truth: DataFrame) -> DataFrame:
     """(s1, component): S1 rows that share a target, directly or through others; component is the least s1.
 
-    Ids are ranked to numbers without a global window: by the distinct s1 of each target, stars around the least
-    one's hash. Rows without a shared target are components of their own.
+    Nodes are numbers that a checkpoint holds, one for each s1, so that none can be taken for another. Rows without a shared target
+    are components of their own.
     """
-    node = F.xxhash64("s1")
-    least = truth.groupBy("id").agg(F.min(node).alias("dst"))
-    edges = truth.select("id", node.alias("src")).join(least, "id").select("src", "dst")
-    known = min_label_components(edges)
-    named = s1.select("s1", node.alias("node")).join(known, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    nodes = checkpointed(s1.select("s1").distinct().withColumn("node", F.monotonically_increasing_id()))
+    links = truth.select("s1", "id").join(nodes, "s1").select("id", "node")
+    least = links.groupBy("id").agg(F.min("node").alias("dst"))
+    known = min_label_components(links.join(least, "id").select(F.col("node").alias("src"), "dst"))
+    named = nodes.join(known, "node", "left").select("s1", F.coalesce("component", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("s1").alias("component"))
-    return named.select("s1", "root").join(names, "root").select("s1", "component")
+    return named.join(names, "root").select("s1", "component")
 
 
 def component_split(members: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
@@ -61,7 +66,7 @@ def component_split(members: DataFrame, shares: dict[str, float], seed: int = 42
 
     The running sum goes over hash slices first, then inside each, so no task orders all components.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("at", draw("component", seed=seed)).withColumn("slice", F.shiftright("at", 43))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("at", draw("component", seed=seed)).withColumn("slice", F.shiftright("at", 42))
     starts = sizes.groupBy("slice").agg(F.sum("n").alias("m")).withColumn("start", F.sum("m").over(Window.orderBy("slice")) - F.col("m"))
     inside = F.sum("n").over(Window.partitionBy("slice").orderBy("at", "component")) - F.col("n")
     total = members.agg(F.count(F.lit(1)).alias("total"))  # one row
@@ -93,6 +98,13 @@ def fresh_slice(split: DataFrame, used: DataFrame, n: int, seed: int = 42) -> Da
     return free.join(first.filter(F.col("before") < n), "component", "left_semi")
 
 
+#: Ids of a slice that is digested.
+MOST_IDS = 5_000_000
+
+
 def id_digest(ids: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted ids, for a bounded slice."""
-    return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("s1")), "\n"), 256).alias("digest"))
+    """SHA-256 of the sorted ids, one a line, of a slice of MOST_IDS at most (its text is one value); larger ones fail."""
+    n = F.count(F.lit(1))
+    lines = F.array_join(F.array_sort(F.collect_list("s1")), "\n")
+    first = ids.select("s1").limit(MOST_IDS + 1)
+    return first.agg(n.alias("n"), lines.alias("lines")).select(F.when(F.col("n") > MOST_IDS, F.raise_error(F.lit("too many ids"))).otherwise(F.sha2("lines", 256)).alias("digest"))

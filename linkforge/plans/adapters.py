@@ -19,9 +19,12 @@ RECORD = {
 }
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return X.prepare(part.selectExpr(*(f"{e} AS {k}" for k, e in RECORD.items())))
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*(f"{e} AS {k}" for k, e in RECORD.items()))
+
+
+def records(spark: SparkSession, sf_dir: str, generation: str = "v2") -> DataFrame:
+    return X.prepare(raw_records(spark, sf_dir), generation)
 
 
 def s1(rows: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ from linkforge.plans import sql as Q
 from linkforge.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
-GRID = [i / 10 for i in range(1, 10)]
-CAPS = [5, 10, 20, 50]
+GRID, CAPS, POOL_CAPS, GATES, RELS = Q.GRID, Q.CAPS, Q.POOL_CAPS, Q.GATES, Q.RELS
+SHARES = {"fit": 0.7, "select": 0.15, "assess": 0.15}
 
 
 def _text(expr: Callable) -> Query:
@@ -33,37 +33,41 @@ def _list(column) -> F.Column:
     return F.array_join(column, "~")
 
 
-def _postings(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: build(A.targets(A.records(spark, d))).select("route", "key", "id")
+def _postings(build: Callable[[DataFrame], DataFrame], generation: str = "v2") -> Query:
+    return lambda spark, d: build(A.targets(A.records(spark, d, generation))).select("route", "key", "id")
 
 
 def _limited(variant: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         v = R.VARIANTS[variant]
-        return R.limit_postings(R.build_postings(A.targets(A.records(spark, d)), v), v).select("route", "key", "id")
+        return R.limit_postings(R.build_postings(A.targets(A.records(spark, d, v.forms)), v), v).select("route", "key", "id")
 
     return run
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = A.records(spark, d)
+def _sides(spark: SparkSession, d: str, generation: str = "v2") -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = A.records(spark, d, generation)
     return A.s1(rows), A.targets(rows), A.truth(rows)
 
 
-def _cands(variant: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        s1, t, _ = _sides(spark, d)
-        return R.candidates(s1, t, R.VARIANTS[variant]).select("s1", "id", "score", F.col("rank").cast("long").alias("rank"))
+def _found(spark: SparkSession, d: str, variant: str = "v1", cap: int | None = None) -> DataFrame:
+    """A variant's candidates, retrieved on its own generation's forms."""
+    v = R.VARIANTS[variant]
+    s1, t, _ = _sides(spark, d, v.forms)
+    return R.candidates(s1, t, v, cap)
 
-    return run
 
+def _cands(variant: str) -> Query:
+    return lambda spark, d: _found(spark, d, variant).select("s1", "id", "score", F.col("rank").cast("long").alias("rank"))
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, _ = _sides(spark, d)
-    return FT.pairs(R.candidates(s1, t, R.VARIANTS["v1"]), s1, t)
 
+def _pairs(spark: SparkSession, d: str, variant: str = "v1", forms: str = "v2") -> DataFrame:
+    """A variant's candidates with both records' forms of a generation."""
+    s1, t, _ = _sides(spark, d, forms)
+    return FT.pairs(_found(spark, d, variant), s1, t)
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+
+def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with set features and a probability made of them."""
     c = F.col
     df = _pairs(spark, d).withColumns({
@@ -78,19 +82,18 @@ def _pair(**cols) -> Query:
 
 
 def route_membership(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, _ = _sides(spark, d)
-    return R.candidates(s1, t, R.VARIANTS["v4all"]).select("s1", "id", _list("routes").alias("routes"))
+    return _found(spark, d, "v4all").select("s1", "id", _list("routes").alias("routes"))
 
 
 def competition(spark: SparkSession, d: str) -> DataFrame:
-    df = FT.competition_features(_scored(spark, d), "name_jaccard", "addr_jaccard")
+    df = FT.competition_features(scored_pairs(spark, d), "name_jaccard", "addr_jaccard")
     keep = ["rank_frac", "n_cands", "name_s_rank", "addr_s_rank", "name_s_gap_to_best_other", "n_cands_name_ge_09", "num_conflict", "same_source_count_name_ge_09", "score_ratio_to_top"]
     return df.select("s1", "id", *(F.round(F.col(k).cast("double"), 4).alias(k) for k in keep))
 
 
 def accept_rules(spark: SparkSession, d: str) -> DataFrame:
     """Jaccards stand in for the edit measures, so that SQL can follow."""
-    df = _scored(spark, d).withColumns({"name_token_sort": F.col("name_jaccard"), "addr_token_sort": F.col("addr_jaccard"), "name_partial": F.col("name_jaccard")})
+    df = scored_pairs(spark, d).withColumns({"name_token_sort": F.col("name_jaccard"), "addr_token_sort": F.col("addr_jaccard"), "name_partial": F.col("name_jaccard")})
     df = df.withColumn("name_addr_conflict", S.contradiction(F.col("name_token_sort"), F.col("addr_token_sort")))
     return df.filter(D.accept(F.col("prob"), 0.5)).select("s1", "id", "prob")
 
@@ -115,23 +118,22 @@ def evaluate_macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocking_recall(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, truth = _sides(spark, d)
-    return _rounded(E.blocking_recall(truth, R.candidates(s1, t, R.VARIANTS["v1"])))
+    return _rounded(E.blocking_recall(_sides(spark, d)[2], _found(spark, d)))
 
 
 def candidate_diag(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth = _sides(spark, d)
-    return _rounded(E.candidate_diagnostics(s1, truth, R.candidates(s1, t, R.VARIANTS["v1"]), t.count()))
+    return _rounded(E.candidate_diagnostics(s1, truth, _found(spark, d), t.count()))
 
 
 def cap_sweep(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth = _sides(spark, d)
-    return _rounded(E.cap_sweep(s1, truth, R.candidates(s1, t, R.VARIANTS["v1"]), CAPS))
+    return _rounded(E.cap_sweep(s1, truth, _found(spark, d), CAPS))
 
 
 def threshold_curve(spark: SparkSession, d: str) -> DataFrame:
     s1, _, truth = _sides(spark, d)
-    return _rounded(E.threshold_curve(s1, truth, _scored(spark, d), GRID))
+    return _rounded(E.threshold_curve(s1, truth, scored_pairs(spark, d), GRID))
 
 
 def best_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -140,16 +142,16 @@ def best_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def route_attribution(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth = _sides(spark, d)
-    return E.route_attribution(truth, R.candidates(s1, t, R.VARIANTS["v1"]))
+    return E.route_attribution(truth, _found(spark, d))
 
 
 def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, truth = _sides(spark, d)
     v = R.VARIANTS["v1"]
+    s1, t, truth = _sides(spark, d, v.forms)
     postings = R.build_postings(t, v)
     pool = R.candidates(s1, t, v, cap=1 << 30, postings=postings)
     keys, _ = R.query_keys(s1, v, postings, 0)
-    every = R.build_postings(s1.select(F.col("s1").alias("id"), "source", "ord", "name_norm", "addr_norm", "country_key"), v).withColumnRenamed("id", "s1")
+    every = R.build_postings(s1.select(F.col("s1").alias("id"), "source", "ord", "name_norm", "addr_norm", "name_key", "country_key"), v).withColumnRenamed("id", "s1")
     cands = pool.filter(F.col("rank") <= v.cap)
     misses = E.miss_attribution(truth, cands, pool, t, postings, every, keys)
     return _rounded(E.miss_report(s1, truth, cands, misses))
@@ -157,7 +159,7 @@ def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 def _slices(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth = _sides(spark, d)
-    return _rounded(E.slices(truth, R.candidates(s1, t, R.VARIANTS["v1"]), s1, t))
+    return _rounded(E.slices(truth, _found(spark, d), s1, t))
 
 
 def slices(spark: SparkSession, d: str) -> DataFrame:
@@ -172,12 +174,12 @@ def slices_target_script(spark: SparkSession, d: str) -> DataFrame:
 
 def error_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth, links = _links(spark, d)
-    return E.error_taxonomy(E.per_entity(s1, truth, links), truth, R.candidates(s1, t, R.VARIANTS["v1"]), links)
+    return E.error_taxonomy(E.per_entity(s1, truth, links), truth, _found(spark, d), links)
 
 
 def loss_report(spark: SparkSession, d: str) -> DataFrame:
     s1, t, truth, links = _links(spark, d)
-    found = truth.join(R.candidates(s1, t, R.VARIANTS["v1"]), ["s1", "id"], "left_semi")
+    found = truth.join(_found(spark, d), ["s1", "id"], "left_semi")
     return _rounded(E.loss_report(E.per_entity(s1, truth, links), E.per_entity(s1, truth, found)))
 
 
@@ -211,7 +213,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_leak_check(spark: SparkSession, d: str) -> DataFrame:
-    folds = SP.component_split(components(spark, d), {"fit": 0.7, "select": 0.15, "assess": 0.15})
+    folds = component_split(spark, d)
     return SP.leaks(folds).agg(F.count(F.lit(1)).alias("leaking"))
 
 
@@ -222,7 +224,7 @@ def neg_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 def id_lists(spark: SparkSession, d: str) -> DataFrame:
     s1, t, _ = _sides(spark, d)
-    return T.id_lists(s1.withColumnRenamed("s1", "entity_id"), R.candidates(s1, t, R.VARIANTS["v1"]), "candidate_entity_ids").select("source1_entity_id", "candidate_entity_ids")
+    return T.id_lists(s1.withColumnRenamed("s1", "entity_id"), _found(spark, d), "candidate_entity_ids").select("source1_entity_id", "candidate_entity_ids")
 
 
 def validate_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -233,18 +235,36 @@ def validate_outputs(spark: SparkSession, d: str) -> DataFrame:
     return V.validate_lists(broken.groupBy("s1").agg(F.collect_list("id").alias("ids")), s1, t).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _features(df: DataFrame, names: list[str]) -> DataFrame:
+    """Features as models see them (floats), reported to 6 digits."""
+    return df.select("s1", "id", *(F.round(F.col(k).cast("double"), 6).alias(k) for k in names))
+
+
 def fuzz_features(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, _ = _sides(spark, d)
-    df = FT.features_43(FT.pairs(R.candidates(s1, t, R.VARIANTS["v4all"]), s1, t))
-    return df.select("s1", "id", *FT.FEATURES_43)
+    return _features(FT.features_43(_pairs(spark, d, "v4all")), FT.FEATURES_43)
+
+
+def features_core(spark: SparkSession, d: str) -> DataFrame:
+    return _features(FT.core_features(_pairs(spark, d, "v3b")), FT.CORE)
+
+
+def features_32(spark: SparkSession, d: str) -> DataFrame:
+    return _features(FT.competition_features(FT.core_features(_pairs(spark, d, "v4a"))), FT.FEATURES_32)
 
 
 def features_a(spark: SparkSession, d: str) -> DataFrame:
-    return FT.features_a(_pairs(spark, d)).select("s1", "id", *FT.FEATURES_A)
+    return _features(FT.features_a(_pairs(spark, d, "a", "a")), FT.FEATURES_A)
 
 
 def features_b(spark: SparkSession, d: str) -> DataFrame:
-    return FT.features_b(_pairs(spark, d)).select("s1", "id", *FT.FEATURES_B)
+    return _features(FT.features_b(_pairs(spark, d, "b", "b")), FT.FEATURES_B)
+
+
+def edit_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields' measures of every candidate pair."""
+    measures = {"ratio": S.RATIO, "token_sort": S.TOKEN_SORT, "token_set": S.TOKEN_SET, "partial": S.PARTIAL, "jaro_winkler": S.JARO}
+    sides = {"name": ("na", "nb"), "addr": ("aa", "ab")}
+    return _pairs(spark, d, "v2").select("s1", "id", *(F.round(f(*of), 6).alias(f"{side}_{k}") for side, of in sides.items() for k, f in measures.items()))
 
 
 def weighted_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -252,10 +272,18 @@ def weighted_scores(spark: SparkSession, d: str) -> DataFrame:
     return df.select("s1", "id", F.round(D.weighted(D.WEIGHTS_V1), 6).alias("score_v1"), F.round(D.weighted_v2(), 6).alias("score_v2"))
 
 
+def weighted_b(spark: SparkSession, d: str) -> DataFrame:
+    return FT.features_b(_pairs(spark, d, "b", "b")).select("s1", "id", F.round(D.weighted(D.WEIGHTS_B), 6).alias("score_b"))
+
+
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return D.contradiction_gate(FT.core_features(_pairs(spark, d))).select("s1", "id")
+
+
 def _model(train: Callable) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         _, _, truth = _sides(spark, d)
-        df = SP.label(_scored(spark, d), truth)
+        df = SP.label(scored_pairs(spark, d), truth)
         names = ["name_jaccard", "addr_jaccard", "num_overlap", "country_equal", "name_exact"]
         fold = SP.draw("s1") % 2 == 0
         model = train(SP.sample_negatives(df.filter(fold), 3, 8), names)
@@ -265,7 +293,7 @@ def _model(train: Callable) -> Query:
 
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    s1, t, _ = _sides(spark, d)
+    s1, t, _ = _sides(spark, d, "b")
     return R.tfidf_knn(s1, t).select("s1", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -273,10 +301,148 @@ def unicode_norm(spark: SparkSession, d: str) -> DataFrame:
     return A.documents(spark, d).select("entity_id", X.name_form(X.fold("business_name")).alias("name_norm"), X.script_class("business_name").alias("script"))
 
 
+def unicode_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts by the three folds, as digests."""
+    folds = {"plain": X.nfkc_casefold, "accents": X.accent_fold, "folded": X.fold}
+    return A.documents(spark, d).select("entity_id", *(F.sha2(f(F.coalesce("business_name", F.lit(""))), 256).alias(k) for k, f in folds.items()))
+
+
+def joint_tuning(spark: SparkSession, d: str) -> DataFrame:
+    s1, _, truth = _sides(spark, d)
+    return _rounded(E.joint_curve(s1, truth, scored_pairs(spark, d), GRID, GATES, RELS))
+
+
+def best_joint(spark: SparkSession, d: str) -> DataFrame:
+    return E.best_setting(joint_tuning(spark, d))
+
+
+def cap_sweep_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The newest variant from small caps to its whole pool."""
+    s1, _, truth = _sides(spark, d)
+    return _rounded(E.cap_sweep(s1, truth, _found(spark, d, "v4all", POOL_CAPS[-1]), POOL_CAPS))
+
+
+def exact_limited(spark: SparkSession, d: str) -> DataFrame:
+    s1, t, _ = _sides(spark, d)
+    return R.exact_matches(s1, t, 100)
+
+
+def random_split(spark: SparkSession, d: str) -> DataFrame:
+    return SP.random_split(_sides(spark, d)[0].select("s1"), 0.25)
+
+
+def bounded_sample(spark: SparkSession, d: str) -> DataFrame:
+    return SP.bounded_sample(_sides(spark, d)[0].select("s1"), 50)
+
+
+def component_split(spark: SparkSession, d: str) -> DataFrame:
+    return SP.component_split(components(spark, d), SHARES)
+
+
+def fold_shares(spark: SparkSession, d: str) -> DataFrame:
+    """fold, rows, components, and the components that straddle folds."""
+    folds = component_split(spark, d)
+    sizes = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("components"))
+    return sizes.crossJoin(SP.leaks(folds).agg(F.count(F.lit(1)).alias("leaking")))  # one row
+
+
+def split_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Against a frozen split in which every rest 5 of a seeded draw was in the fit fold."""
+    folds = component_split(spark, d)
+    frozen = folds.select("s1", F.when(SP.draw("s1", seed=7) % 10 == 5, "fit").otherwise(F.col("fold")).alias("fold"))
+    return SP.conflicts(folds, frozen).select("s1", "fold", "was")
+
+
+def fresh_slice(spark: SparkSession, d: str) -> DataFrame:
+    folds = component_split(spark, d)
+    return SP.fresh_slice(folds, folds.filter("fold = 'assess'").select("s1"), 40).select("s1", "component")
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first generation's: 4 negatives a positive, 4 at least, and the true links that retrieval missed."""
+    truth = _sides(spark, d)[2]
+    kept = SP.sample_negatives(SP.label(_found(spark, d, "a").select("s1", "id"), truth), 4, 4)
+    return SP.label(SP.add_missed(kept.select("s1", "id"), truth), truth).select("s1", "id", F.col("label").cast("long").alias("label"))
+
+
+def loss_by_country(spark: SparkSession, d: str) -> DataFrame:
+    s1, _, truth, links = _links(spark, d)
+    found = truth.join(_found(spark, d), ["s1", "id"], "left_semi")
+    return _rounded(E.loss_by_country(s1, E.per_entity(s1, truth, links), E.per_entity(s1, truth, found)))
+
+
+def singleton_losses(spark: SparkSession, d: str) -> DataFrame:
+    s1, _, truth, _ = _links(spark, d)
+    return _rounded(E.singleton_losses(E.per_entity(s1, truth, D.threshold(scored_pairs(spark, d), 0.5))))
+
+
+def rejected_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    found = E.rejected_quantiles(_sides(spark, d)[2], scored_pairs(spark, d), 0.9)
+    return found.select("n", *(F.round(F.get("quantiles", F.lit(i)), 6).alias(f"q{i}") for i in range(4)))
+
+
+def false_profile(spark: SparkSession, d: str) -> DataFrame:
+    truth = _sides(spark, d)[2]
+    df = FT.features_43(_pairs(spark, d)).withColumn("prob", F.round(D.weighted_v2(), 6))
+    return _rounded(E.false_profile(D.threshold(df, 0.5).join(truth, ["s1", "id"], "left_anti")))
+
+
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """What of the paired comparison draws don't change: exact matches against a threshold."""
+    s1, _, truth, links = _links(spark, d)
+    a, b = E.per_entity(s1, truth, links), E.per_entity(s1, truth, D.threshold(scored_pairs(spark, d), 0.5))
+    found = E.paired_bootstrap(a.select("s1", F.col("f05").alias("was")).join(b, "s1").select((F.col("f05") - F.col("was")).alias("delta")))
+    row = (round(found["mean"], 6), found["better"], found["worse"], found["low"] <= found["mean"] <= found["high"])
+    return spark.createDataFrame([row], "mean double, better long, worse long, inside boolean")
+
+
+def source_report(spark: SparkSession, d: str) -> DataFrame:
+    return E.source_report(A.records(spark, d))
+
+
+def country_counts(spark: SparkSession, d: str) -> DataFrame:
+    return E.country_counts(A.records(spark, d))
+
+
+def noise_examples(spark: SparkSession, d: str) -> DataFrame:
+    s1, t, truth = _sides(spark, d)
+    return E.noise_examples(truth, s1, t)
+
+
+def parity(spark: SparkSession, d: str) -> DataFrame:
+    """Two variants that differ in how buckets are limited."""
+    one, two = (_found(spark, d, v).select("s1", "id", "score") for v in ("v2", "v3a"))
+    return E.parity(one, two)
+
+
+def candidate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates an index without every seventh target doesn't know, and matches that aren't candidates."""
+    _, t, truth = _sides(spark, d)
+    lists = lambda links: links.groupBy("s1").agg(F.collect_list("id").alias("ids"))
+    cands = lists(_found(spark, d).select("s1", "id"))
+    odd = V.not_among_candidates(lists(truth), cands).agg(F.count(F.lit(1)).alias("not_candidates"))
+    return V.unknown_candidates(cands, t.filter("ord % 7 <> 0")).crossJoin(odd)  # one row each
+
+
+def index_complete(spark: SparkSession, d: str) -> DataFrame:
+    t = _sides(spark, d)[1]
+    return I.postings_v2(I.assert_complete(t, t.count())).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def no_links(spark: SparkSession, d: str) -> DataFrame:
+    """The empty predictor's evaluation."""
+    s1, _, truth = _sides(spark, d)
+    return _rounded(E.evaluate(E.per_entity(s1, truth, D.no_links(s1))))
+
+
+def exact_among(spark: SparkSession, d: str) -> DataFrame:
+    return R.exact_among(_pairs(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest policy end to end: candidates, features, probability, decision, one list for each s1."""
-    s1, t, _ = _sides(spark, sf_dir)
-    df = FT.core_features(FT.pairs(R.candidates(s1, t, R.VARIANTS["v4all"]), s1, t)).withColumn("prob", D.weighted_v2())
+    s1 = _sides(spark, sf_dir)[0]
+    df = FT.core_features(_pairs(spark, sf_dir, "v4all")).withColumn("prob", D.weighted_v2())
     links = D.gate_relative(D.contradiction_gate(df), 0.6, 0.6, 0.9)
     return T.id_lists(s1.withColumnRenamed("s1", "entity_id"), links.select("s1", "id", "rank"))
 
@@ -285,9 +451,10 @@ _N, _A = (lambda: F.col("name_norm")), (lambda: F.col("addr_norm"))
 QUERIES: dict[str, Query] = {
     "norm_name": _text(_N),
     "norm_addr": _text(_A),
-    "norm_v1": _text(lambda: F.concat_ws("|", X.name_form_v1(F.lower("business_name")), X.addr_form_v1(F.lower("business_address")))),
-    "norm_a": _text(lambda: F.concat_ws("|", X.text_form_a(F.lower("business_name"), "name"), X.text_form_a(F.lower("business_address"), "address"))),
-    "norm_b": _text(lambda: F.concat_ws("|", *X.views_b(F.lower("business_name"), F.lower("business_address")).values())),
+    "norm_v1": _text(lambda: F.concat_ws("|", X.name_form_v1(X.nfkc_casefold("business_name")), X.addr_form_v1(X.nfkc_casefold("business_address")))),
+    "norm_a": _text(lambda: F.concat_ws("|", X.text_form_a(X.nfkc_casefold("business_name"), "name"), X.text_form_a(X.nfkc_casefold("business_address"), "address"))),
+    "norm_b": _text(lambda: F.concat_ws("|", *X.views_b(X.nfkc_casefold("business_name"), X.nfkc_casefold("business_address")).values())),
+    "significant_tokens": _text(lambda: F.concat_ws("|", _list(X.significant_tokens(_N())), _list(X.sig_tokens_v1(_N())))),
     "sig_tokens": _text(lambda: _list(X.sig_tokens(_N()))),
     "sorted_sig": _text(lambda: X.sorted_sig(_N())),
     "nums": _text(lambda: _list(X.nums(_A()))),
@@ -295,6 +462,9 @@ QUERIES: dict[str, Query] = {
     "addr_tokens": _text(lambda: _list(X.addr_tokens(_A()))),
     "compact_prefix": _text(lambda: F.concat_ws("|", F.coalesce(X.prefix(_N(), 3), F.lit("")), F.coalesce(X.prefix(_N(), 4, 4), F.lit("")), F.coalesce(X.prefix(_N(), 8, 8), F.lit("")))),
     "unicode_norm": unicode_norm,
+    "unicode_folds": unicode_folds,
+    "postings_a": _postings(I.postings_a, "a"),
+    "postings_b": _postings(I.postings_b, "b"),
     "postings_v1": _postings(I.postings_v1),
     "postings_v2": _postings(I.postings_v2),
     "postings_pair": _postings(I.postings_pair),
@@ -310,15 +480,14 @@ QUERIES: dict[str, Query] = {
     "containment": _pair(a_in_b=lambda: S.containment(X.sig_tokens(F.col("na")), X.sig_tokens(F.col("nb"))), len_ratio=lambda: S.length_ratio(F.col("na"), F.col("nb"))),
     "jaro_winkler": _pair(name_jw=lambda: S.JARO("na", "nb")),
     "levenshtein_ext": _pair(edits=lambda: F.levenshtein("na", "nb").cast("double")),
-    "fuzz_features": fuzz_features,
-    "features_a": features_a,
-    "features_b": features_b,
-    "weighted_scores": weighted_scores,
+    **{f.__name__: f for f in (fuzz_features, features_core, features_32, features_a, features_b, edit_measures, weighted_scores, weighted_b, contradictions)},
+    **{f.__name__: f for f in (joint_tuning, best_joint, cap_sweep_pool, exact_limited, exact_among, no_links, random_split, bounded_sample, component_split, fold_shares, split_conflicts, fresh_slice, training_rows)},
+    **{f.__name__: f for f in (loss_by_country, singleton_losses, rejected_quantiles, false_profile, bootstrap, source_report, country_counts, noise_examples, parity, candidate_ids, index_complete)},
     "competition_features": competition,
     "exact_match": lambda spark, d: _links(spark, d)[3],
-    "weighted_jaccard": lambda spark, d: _scored(spark, d).select("s1", "id", "prob"),
-    "threshold": lambda spark, d: D.threshold(_scored(spark, d), 0.5).select("s1", "id", "prob"),
-    "gate_relative": lambda spark, d: D.gate_relative(_scored(spark, d), 0.3, 0.6, 0.9).select("s1", "id", "prob"),
+    "weighted_jaccard": lambda spark, d: scored_pairs(spark, d).select("s1", "id", "prob"),
+    "threshold": lambda spark, d: D.threshold(scored_pairs(spark, d), 0.5).select("s1", "id", "prob"),
+    "gate_relative": lambda spark, d: D.gate_relative(scored_pairs(spark, d), 0.3, 0.6, 0.9).select("s1", "id", "prob"),
     "accept_rules": accept_rules,
     "entity_f05": entity_f05,
     "evaluate_macro": evaluate_macro,
@@ -344,6 +513,7 @@ QUERIES: dict[str, Query] = {
     "id_lists": id_lists,
     "validate_outputs": validate_outputs,
     "logistic_scores": _model(D.train_logistic),
+    "sgd_scores": _model(D.train_sgd),
     "gbt_scores": _model(D.train_trees),
     "linked_lists": flagship,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,36 @@ def _schema(columns: list[str]) -> T.StructType:
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], strict: bool = False) -> DataFrame:
-    """All columns as strings, missing as ''; strict also rejects rows with too few or too many fields."""
+    """All columns as strings, missing as ''; strict also fails on a row with too few or too many fields, whatever columns are asked for."""
     first = spark.read.text(path).limit(1).collect()
     if not first or [c.strip('"') for c in first[0][0].rstrip("\r").split("\t")] != columns:
         raise BadHeader(f"Bad header in {path}: {first[0][0] if first else 'no line'}")
-    reader = spark.read.schema(_schema(columns)).option("sep", "\t").option("quote", '"').option("escape", '"').option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    reader = spark.read.schema(_schema(columns)).option("sep", "\t").option("quote", '"').option("escape", '"').option("header", True)
+    # A pruned parser reads only the fields that are asked for and would pass over the rest of a row.
+    reader = reader.option("mode", "FAILFAST").option("columnPruning", False) if strict else reader.option("mode", "PERMISSIVE")
     return reader.csv(path).na.fill("")
 
 
+def broken_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """What the strict reader fails on: the line, and how many of its fields were read that aren't empty."""
+    schema = T.StructType([*_schema(columns).fields, T.StructField("line", T.StringType())])
+    reader = spark.read.schema(schema).option("sep", "\t").option("quote", '"').option("escape", '"').option("header", True).option("mode", "PERMISSIVE")
+    rows = reader.option("columnNameOfCorruptRecord", "line").option("columnPruning", False).csv(path).filter(F.col("line").isNotNull())
+    return rows.select("line", F.size(F.array_compact(F.array(*columns))).alias("fields"))
+
+
 def with_order(df: DataFrame) -> DataFrame:
-    """Rows with their place in the files as `ord`."""
-    schema = T.StructType([*df.schema.fields, T.StructField("ord", T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Rows of a file-backed frame with their place in the files, by name and block, as `ord`.
+
+    A block's rows keep their order in one partition; counts of blocks give each its first number, so no task orders all rows.
+    """
+    at = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__in": F.monotonically_increasing_id()}
+    rows = df.select("*", *(c.alias(k) for k, c in at.items()))
+    block = ["__file", "__block"]
+    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
+    firsts = counts.select(*block, (F.sum("__n").over(Window.orderBy(*block)) - F.col("__n")).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("__in")) - 1
+    return rows.withColumn("__at", inside).join(firsts, block).select(*df.columns, (F.col("__first") + F.col("__at")).alias("ord"))
 
 
 def read_sources(spark: SparkSession, folder: str, split: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -51,7 +69,7 @@ def targets(s2: DataFrame, s3: DataFrame) -> DataFrame:
 
 def parse_ids(column: str):
     """A comma list as an array of distinct non-empty ids."""
-    return F.array_distinct(F.filter(F.transform(F.split(column, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(column, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -103,16 +121,43 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_shards(df: DataFrame, path: str, run_hash: str) -> DataFrame:
-    """Results as Parquet by shard, with the run's hash; Spark's commit makes each write whole."""
-    df.withColumn("run_hash", F.lit(run_hash)).write.mode("overwrite").partitionBy("shard").parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy("shard", "run_hash").count()
+def _content_digest(columns: list[str]) -> Column:
+    """A digest of a group of rows that their order doesn't change: the sum of 60-bit pieces of each row's SHA-256."""
+    row = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    return F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
+def _shard_facts(results: DataFrame) -> DataFrame:
+    """shard, n_s1, links, empty_pred, cands, zero_cand, digest of results(shard, s1, country, matches, cands)."""
+    m, c = F.size("matches"), F.size("cands")
+    return results.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_s1"), F.sum(m).alias("links"), F.sum((m == 0).cast("int")).alias("empty_pred"), F.sum(c).alias("cands"), F.sum((c == 0).cast("int")).alias("zero_cand"),
+        _content_digest(results.columns).alias("digest"),
+    )
+
+
+def write_shards(results: DataFrame, path: str, run_hash: str) -> None:
+    """Results (shard, s1, country, matches, cands) as Parquet by shard, replacing the shards that they hold and no others.
 
+    Each shard's manifest (run hash, counts, content digest) and its counts by country are written after it, from what was written.
+    """
+    def write(df: DataFrame, where: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(where)
 
-def reusable_shards(spark: SparkSession, path: str, run_hash: str, expected: DataFrame) -> DataFrame:
-    """Shards of expected(shard, count) that were written by the same run and are whole."""
-    have = spark.read.parquet(path).filter(F.col("run_hash") == run_hash).groupBy("shard").count()
-    return expected.join(have, ["shard", "count"], "left_semi")
+    write(results, f"{path}/results")
+    shards = results.select("shard").distinct()
+    written = results.sparkSession.read.schema(results.schema).parquet(f"{path}/results").join(shards, "shard", "left_semi").select(*results.columns)
+    write(_shard_facts(written).withColumn("run_hash", F.lit(run_hash)), f"{path}/manifest")
+    m, c = F.size("matches"), F.size("cands")
+    by_country = written.groupBy("shard", "country").agg(F.count(F.lit(1)).alias("n_s1"), F.sum(m).alias("links"), F.sum((m == 0).cast("int")).alias("empty_pred"), F.sum(c).alias("cands"), F.sum((c == 0).cast("int")).alias("zero_cand"))
+    write(by_country, f"{path}/by_country")
+
+
+def reusable_shards(spark: SparkSession, path: str, run_hash: str, schema: T.StructType) -> DataFrame:
+    """Shards whose manifest is of this run and agrees with the rows that are there."""
+    manifest = spark.read.parquet(f"{path}/manifest").filter(F.col("run_hash") == run_hash)
+    have = _shard_facts(spark.read.schema(schema).parquet(f"{path}/results").select(*schema.names))
+    return manifest.select(*have.columns).join(have, have.columns, "left_semi").select("shard")
 
 
 def write_json(data: dict, path: str) -> None:
@@ -128,6 +173,19 @@ def to_markdown(title: str, rows: list[dict]) -> str:
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(str(r.get(h, "")) for h in head) + " |" for r in rows), ""])
 
 
+#: Fixed: the fields of an experiment's row.
+LEDGER = [
+    "experiment_id", "timestamp", "hypothesis", "validation_version", "blocking_config", "feature_config", "model", "decision_rule", "threshold", "candidate_recall",
+    "precision", "recall", "macro_f0.5", "singleton_accuracy", "avg_candidates", "runtime", "notes", "data_provenance", "fold",
+]
+
+
 def append_ledger(spark: SparkSession, path: str, row: dict) -> None:
-    """One experiment's row, appended as Parquet."""
-    spark.createDataFrame([{k: None if v is None else str(v) for k, v in row.items()}]).write.mode("append").parquet(path)
+    """One experiment's row, appended as a tab-separated file with the fixed fields: others are dropped, missing ones empty."""
+    values = ["" if row.get(k) is None else str(row[k]) for k in LEDGER]
+    one = spark.createDataFrame([values], _schema(LEDGER)).coalesce(1)
+    one.write.mode("append").option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_schema(LEDGER)).option("sep", "\t").option("quote", '"').option("escape", '"').option("header", True).csv(path).na.fill("")

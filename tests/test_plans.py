@@ -8,9 +8,11 @@ import pytest
 
 from linkforge.operators import features as FT
 from linkforge.operators import retrieve as R
+from linkforge.plans import files
 from linkforge.plans import queries as P
 
-CHECKED = sorted(P.ORACLE_SQL)
+QUERIES, SQL = P.QUERIES | files.QUERIES, P.ORACLE_SQL | files.ORACLE_SQL
+CHECKED = sorted(SQL)
 
 
 def _rows(frame, cols):
@@ -20,16 +22,17 @@ def _rows(frame, cols):
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
-    want = con.execute(P.ORACLE_SQL[name]).fetchdf()
-    got = P.QUERIES[name](spark, sf).toPandas()
+    for table in ("part", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(SQL[name]).fetchdf()
+    got = QUERIES[name](spark, sf).toPandas()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert _rows(got, cols) == _rows(want, cols)
 
 
 def test_every_sql_has_a_query():
-    assert set(P.ORACLE_SQL) <= set(P.QUERIES)
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_entry_lists_each_s1_once(spark, sf):
