@@ -30,12 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkforge.llm.common import checkpointed, read_table, width
+from linkforge.llm.hash_sql import mul, shifted, u, xxh64_ctes
 
 #: Cells of the fingerprint that is returned; a multiple of 3.
 CELLS = 24
 #: Rows that a task peels together, and digests after which it stops adding rows.
 BATCH_ROWS, BATCH_DIGESTS = 512, 1 << 18
 SENTENCE = regex.compile(r"[^.!?]+[.!?]*|[.!?]+")
+#: Odd multipliers that spread a digest's bits.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 #: Bytes of text that a range is meant to hold.
 RANGE_BYTES = 1 << 28
 
@@ -67,8 +70,8 @@ def digests(text: str) -> np.ndarray:
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ np.uint64(seed)) * np.uint64(MIX[0])
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX[1])
         return x ^ (x >> np.uint64(32))
 
 
@@ -266,3 +269,34 @@ def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Da
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+_SEEDS = f"[{u(1)}, {u(2)}, {u(3)}, {u(99)}]"
+#: _mix() of column h under each seed.
+_MIXES = f"list_transform(list_transform(list_transform({_SEEDS}, lambda s: {mul('xor(h, s)', u(MIX[0]))}), lambda m: {mul(shifted('m', 29), u(MIX[1]))}), lambda m: {shifted('m', 32)})"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC, sha256(t))),
+e AS (SELECT *, left(t, n - n // 2) || left(after, n // 2) AS new FROM o),
+lines AS (SELECT doc_id, v, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS whole FROM (SELECT doc_id, 0 AS v, unnest(string_split(t, chr(10))) AS line FROM e UNION ALL SELECT doc_id, 1, unnest(string_split(new, chr(10))) FROM e)),
+parts AS (SELECT doc_id, v, whole, list_filter(list_transform(regexp_extract_all(whole, '[^.!?]+[.!?]*|[.!?]+'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM lines WHERE whole <> ''),
+pieces AS (SELECT doc_id, v, unnest(list_concat([whole], CASE WHEN len(ss) > 1 THEN ss ELSE [] END)) AS piece FROM parts),
+counted AS (SELECT doc_id, v, piece, count(*) AS k FROM pieces GROUP BY doc_id, v, piece),
+each AS (SELECT doc_id, v, piece, unnest(range(0, k)) AS nth FROM counted),
+numbered AS (SELECT piece, nth, row_number() OVER () AS id FROM (SELECT DISTINCT piece, nth FROM each)),
+{xxh64_ctes("hashed", "numbered", "id", "piece", "nth")},
+mixed AS (SELECT piece, nth, h::ubigint AS h, ({_MIXES}) AS m FROM hashed JOIN numbered ON id = key),
+placed AS (SELECT doc_id, v, h, (m[4] // {u(1 << 32)})::ubigint AS c, unnest([{", ".join(f"({t * (CELLS // 3)} + m[{t + 1}] % {u(CELLS // 3)})::int" for t in range(3))}]) AS cell FROM each JOIN mixed USING (piece, nth)),
+cells AS (SELECT doc_id, v, cell, count(*) AS n, bit_xor(h) AS h, bit_xor(c) AS c FROM placed GROUP BY doc_id, v, cell),
+grid AS (SELECT doc_id, v, cell FROM (SELECT doc_id, unnest([0, 1]) AS v FROM e), range(0, {CELLS}) r(cell)),
+total AS (SELECT doc_id, v, sum(k)::bigint AS n FROM counted GROUP BY doc_id, v),
+prints AS (SELECT grid.doc_id, grid.v, lower(hex(coalesce(any_value(total.n), 0))) || ':' || string_agg(lower(hex(coalesce(cells.n, 0))) || '.' || lpad(lower(hex(coalesce(cells.h, 0))), 16, '0') || '.' || lpad(lower(hex(coalesce(cells.c, 0))), 8, '0'), ' ' ORDER BY grid.cell) AS print, coalesce(any_value(total.n), 0) AS n
+  FROM grid LEFT JOIN cells USING (doc_id, v, cell) LEFT JOIN total ON total.doc_id = grid.doc_id AND total.v = grid.v GROUP BY grid.doc_id, grid.v),
+kept AS (SELECT a.doc_id, sum(least(a.k, b.k))::bigint AS s FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.v = 0 AND b.v = 1 AND a.piece = b.piece GROUP BY a.doc_id),
+met AS (SELECT e.doc_id, sum(least(a.k, b.k))::bigint AS s FROM e JOIN counted a ON a.doc_id = e.doc_id AND a.v = 0 JOIN counted b ON b.doc_id = e.next_id AND b.v = 0 AND a.piece = b.piece GROUP BY e.doc_id)
+SELECT e.doc_id, e.n::bigint AS n_chars, sha256(e.new) AS edited_sha256, p.print AS fingerprint, q.print AS edited_fingerprint,
+       CASE WHEN p.n + q.n = 0 THEN 1.0::double ELSE 2.0::double * coalesce(kept.s, 0) / (p.n + q.n) END AS near_edited,
+       CASE WHEN p.n + r.n = 0 THEN 1.0::double ELSE 2.0::double * coalesce(met.s, 0) / (p.n + r.n) END AS near_next
+FROM e JOIN prints p ON p.doc_id = e.doc_id AND p.v = 0 JOIN prints q ON q.doc_id = e.doc_id AND q.v = 1 JOIN prints r ON r.doc_id = e.next_id AND r.v = 0
+LEFT JOIN kept ON kept.doc_id = e.doc_id LEFT JOIN met ON met.doc_id = e.doc_id
+"""

@@ -6,11 +6,11 @@ from linkforge.llm.ann import op6_nearest_neighbours
 from linkforge.llm.bpe import op7_bpe
 from linkforge.llm.chat import OP2_SQL, op2_chat_format
 from linkforge.llm.html_extract import op1_html_extraction
-from linkforge.llm.iblt import op8_document_fingerprints
+from linkforge.llm.iblt import OP8_SQL, op8_document_fingerprints
 from linkforge.llm.language import op10_language
 from linkforge.llm.mixing import OP5_SQL, op5_mixing
-from linkforge.llm.sharding import op9_sharding
-from linkforge.llm.simhash import op3_simhash
+from linkforge.llm.sharding import OP9_SQL, op9_sharding
+from linkforge.llm.simhash import OP3_SQL, op3_simhash
 from linkforge.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op3_simhash": OP3_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op8_document_fingerprints": OP8_SQL, "op9_sharding": OP9_SQL}

@@ -67,3 +67,47 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), 16)
 
+
+def _crc_table() -> list[int]:
+    """CRC-32's remainders of the sixteen half bytes, by its reversed polynomial."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def _crc_sql(text: str) -> str:
+    """DuckDB: CRC-32 of a text's UTF-8 bytes, half a byte at a time, the lower half of each first."""
+    digits = f"string_split(hex(encode({text})), '')"
+    halves = "list_transform(range(0, len(h)), lambda i: (strpos('0123456789ABCDEF', h[CASE i % 2 WHEN 0 THEN i + 2 ELSE i END]) - 1)::bigint)"
+    step = f"xor(s >> 4, {_crc_table()}[xor(s & 15, x) + 1]::bigint)"
+    return f"(SELECT CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::bigint, {halves}), lambda s, x: {step}), 4294967295::bigint) END FROM (SELECT {digits} AS h))"
+
+
+def _jumps(shards: int) -> str:
+    """DuckDB: the shard of doc_id, by as many steps as can be needed."""
+    state = "{'k': (coalesce(doc_id, 0)::hugeint + 18446744073709551616) % 18446744073709551616, 'b': -1::hugeint, 'j': 0::hugeint}"
+    step = f"(s.k * {MULTIPLIER} + 1) % 18446744073709551616"
+    return (
+        f"list_reduce(list_transform(range(0, {min(shards, MOST_JUMPS)} + 1), lambda i: {state}), lambda s, x: CASE WHEN s.j >= {shards} THEN s ELSE "
+        f"{{'k': {step}, 'b': s.j, 'j': floor((s.j + 1)::double * 2147483648::double / ((({step}) // 8589934592) + 1)::double)::hugeint}} END)"
+    )
+
+
+OP9_SQL = f"""
+WITH r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::bigint + 1 AS size, coalesce(text, '') AS t,
+         {_jumps(16)} AS a, {_jumps(17)} AS g
+  FROM documents
+), p AS (
+  SELECT doc_id, size, {_crc_sql("t")} AS text_crc32, (CASE WHEN a.j >= 16 THEN a.b ELSE a.j END)::int AS shard,
+         (CASE WHEN g.j >= 17 THEN g.b ELSE g.j END)::int AS grown_shard
+  FROM r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ((doc_id % {SLICES}) + {SLICES}) % {SLICES}, doc_id, size, text_crc32)::bigint - 1 AS slot,
+       grown_shard
+FROM p
+"""

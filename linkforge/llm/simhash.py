@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkforge.llm.common import checkpointed, fresh, map_batches, min_label_components, read_table, width
+from linkforge.llm.hash_sql import xxh64_ctes
 
 SEED = 42
 #: Fingerprints that one task holds of a cell, and one side of a numpy tile.
@@ -199,6 +200,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::ubigint ELSE 0::ubigint END" for b in range(64))
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+{xxh64_ctes("hashed", "sh", "s", "s", str(SEED))},
+signed AS (SELECT doc_id, {_BITS} AS fp FROM (SELECT doc_id, hashed.h::ubigint AS h FROM sh JOIN hashed ON hashed.key = sh.s) GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(fp, 0::ubigint) AS fp FROM documents LEFT JOIN signed USING (doc_id)),
+reps AS (SELECT fp, min(doc_id) AS node FROM f GROUP BY fp),
+near AS (SELECT a.fp AS a, b.fp AS b FROM reps a JOIN reps b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+reach AS (SELECT fp AS a, fp AS b FROM reps UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+named AS (SELECT reach.a AS fp, min(reps.node) AS component_id FROM reach JOIN reps ON reps.fp = reach.b GROUP BY reach.a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN named USING (fp)
+"""
+
+
 # -- a similarity threshold -------------------------------------------------------------------------
 
 #: Texts, and shingles, of one likeness group that a task compares with each other or with as many others.
