@@ -103,3 +103,9 @@ def contradiction(name: Column, addr: Column) -> Column:
 
 def agreement(name: Column, addr: Column) -> Column:
     return F.when((name >= 0.85) & (addr >= 0.85), 1.0).when((name >= 0.85) & (addr > 0) & (addr < 0.5), -1.0).otherwise(0.0)
+
+
+def register(spark) -> None:
+    """The edit measures by name, for SQL: ratio, token_sort_ratio, token_set_ratio, partial_ratio (0 to 1) and jaro_winkler."""
+    for name, measure in {"ratio": RATIO, "token_sort_ratio": TOKEN_SORT, "token_set_ratio": TOKEN_SET, "partial_ratio": PARTIAL, "jaro_winkler": JARO}.items():
+        spark.udf.register(name, measure)

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from linkforge.functions import edit as E
 from linkforge.functions import similarity as S
 from linkforge.functions import text as X
 
@@ -48,3 +50,59 @@ def test_set_measures_and_their_conventions(spark):
     a, b = F.col("a"), F.col("b")
     got = df.select(S.jaccard(a, b), S.jaccard(a, b, 1.0), S.containment(a, b), S.number_overlap(a, b), S.number_conflict(a, b)).collect()
     assert [tuple(round(x, 4) for x in r) for r in got] == [(0, 1, 0, 0, 0), (0, 0, 0, 0, 0), (0.3333, 0.3333, 0.5, 0.3333, 0)]
+
+
+def _partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    one = lambda x, y: max(200 * _lcs(x, w) / (len(x) + len(w)) for k in range(1 - len(x), len(y)) if (w := y[max(k, 0) : k + len(x)]))
+    return one(a, b) if len(a) < len(b) else one(b, a) if len(b) < len(a) else max(one(a, b), one(b, a))
+
+
+def _token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+    if both and (not left or not right):
+        return 100.0
+    plain = lambda p, q: 200 * _lcs(p, q) / (len(p) + len(q))
+    return max([plain(one, two)] + [plain(both, one), plain(both, two)] * bool(both))
+
+
+def test_batch_measures_by_dynamic_programming(monkeypatch):
+    """Strings of one and of several words of bits, tiles of a few pairs, letters of many alphabets."""
+    draw = random.Random(5)
+    for longest, letters, tile in ((9, "ab ", 8192), (20, "abcdé 漢😀 ", 7), (80, "abc def", 64), (150, "abcdefghij  ", 8192)):
+        monkeypatch.setattr(E, "PAIRS", tile)
+        monkeypatch.setattr(E, "WINDOWS", 50 * tile)
+        first, second = ([""] + ["".join(draw.choices(letters, k=draw.randint(1, longest))) for _ in range(14)] for _ in "ab")
+        second += first[:4]
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(first)), np.arange(len(second))))
+        at = range(len(i)) if longest < 50 else draw.sample(range(len(i)), 25)
+        sort = lambda s: " ".join(sorted(s.split()))
+        indel = lambda a, b: 200 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+        rules = {E.ratio: indel, E.token_sort_ratio: lambda a, b: indel(sort(a), sort(b)), E.token_set_ratio: _token_set, E.partial_ratio: _partial}
+        for measure, rule in rules.items():
+            got = measure(first, second, i, j)
+            assert all(abs(got[k] - rule(first[i[k]], second[j[k]])) < 1e-9 for k in at)
+        got = E.jaro_winkler(first, second, i, j)
+        assert all(abs(got[k] - E.jaro_winkler_of(first[i[k]], second[j[k]])) < 1e-12 for k in range(len(i)) if first[i[k]] != second[j[k]])
+        assert all(got[k] == 1.0 for k in range(len(i)) if first[i[k]] == second[j[k]])
+
+
+def test_measures_by_name_in_sql(spark):
+    S.register(spark)
+    row = spark.sql("SELECT token_sort_ratio('b a', 'a b') AS a, partial_ratio('york', 'new york') AS b, jaro_winkler('', '') AS c, ratio('ab', 'b') AS d").first()
+    assert (row["a"], row["b"], row["c"], round(row["d"], 6)) == (1.0, 1.0, 0.0, round(2 / 3, 6))
+
+
+def test_each_generation_has_its_own_forms(spark):
+    rows = [("Café & Bar Pvt Ltd", "12 N Main Rd, Apt 4", " India "), ("Ｆｏｏ.com plc", "7 Rue de l'Étoile Ste 2", "FRANCE"), ("Straße LLP", "", None)]
+    df = spark.createDataFrame(rows, "business_name string, business_address string, country string").na.fill("")
+    forms = {g: [tuple(r) for r in X.prepare(df, g).select("name_norm", "addr_norm", "country_key", "name_key").collect()] for g in X.FORMS}
+    assert forms["v2"][0] == ("cafe and bar private limited", "12 n main road apt 4", "india", "cafe and bar private limited")
+    assert forms["v1"][0][0] == "café and bar private limited" and forms["v2"][1][0] == "foo plc" and forms["v1"][1][0] == "foo com plc"
+    assert forms["a"][0][1] == "12 north main road apartment 4" and forms["a"][1][0] == "foo com public" and forms["a"][2][0] == "strasse limited"
+    assert forms["b"][0] == ("café and bar private limited", "12 n main road apartment 4", "india", "café and bar pvt ltd") and forms["b"][2][0] == "strasse llp"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from linkforge.operators import decide as D
 from linkforge.operators import evaluate as E
 from linkforge.operators import index as I
+from linkforge.operators import retrieve as R
 from linkforge.operators import split as SP
 from linkforge.operators import validate as V
 from linkforge.operators.graph import min_label_components
@@ -91,6 +92,102 @@ def test_tsv_round_trip(spark, tmp_path):
     assert got == {"S1-2": [], "S1-1": ["S2-9", "S2-1"]}
 
 
+def test_strict_rows_fail_whatever_is_asked_for(spark, tmp_path):
+    p = tmp_path / "x.tsv"
+    head = "\t".join(T.SOURCE)
+    for bad in ("S1-2\tname\taddress", "S1-2\tname\taddress\tUS\tmore"):
+        p.write_text(f"{head}\nS1-1\ta\tb\tc\n{bad}\n")
+        assert T.read_tsv(spark, str(p), T.SOURCE).count() == 2
+        for read in (lambda df: df.count(), lambda df: df.select("entity_id").collect()):
+            with pytest.raises(Exception, match="MALFORMED"):
+                read(T.read_tsv(spark, str(p), T.SOURCE, strict=True))
+
+
+def test_order_of_several_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.tsv").write_text("\t".join(T.SOURCE) + "\n" + "".join(f"S1-{k}{i}\ta\tb\tc\n" for i in range((k + 1) * 4)))
+    rows = T.with_order(T.read_tsv(spark, str(tmp_path), T.SOURCE)).orderBy("ord").collect()
+    assert [r["ord"] for r in rows] == list(range(24)) and [r["entity_id"] for r in rows] == [f"S1-{k}{i}" for k in range(3) for i in range((k + 1) * 4)]
+
+
+def test_shards_resume_after_a_lost_one(spark, tmp_path):
+    schema = "shard int, s1 string, country string, matches array<string>, cands array<string>"
+    rows = [(i % 3, f"S1-{i}", "US", [f"S2-{i}"], [f"S2-{i}", "S3-1"]) for i in range(12)]
+    df, path = spark.createDataFrame(rows, schema), str(tmp_path / "shards")
+    for k in range(3):
+        T.write_shards(df.filter(F.col("shard") == k), path, "run")
+    ready = lambda run="run": sorted(r["shard"] for r in T.reusable_shards(spark, path, run, df.schema).collect())
+    assert ready() == [0, 1, 2] and ready("another") == []
+    lost = next((tmp_path / "shards/results/shard=1").glob("*.parquet"))
+    lost.unlink()
+    assert ready() == [0, 2]
+    T.write_shards(df.filter("shard = 1"), path, "run")
+    assert ready() == [0, 1, 2] and spark.read.parquet(f"{path}/results").count() == 12
+
+
+def test_dataset_must_be_the_manifests(spark, tmp_path):
+    good = tmp_path / "data"
+    good.mkdir()
+    (good / "a.tsv").write_text("x\ty\n1\t2\n")
+    facts = V.file_digests(spark, str(good / "a.tsv")).first()
+    manifest = {"a.tsv": {"header": ["x", "y"], "bytes": facts["length"], "sha256": facts["sha256"]}}
+    V.require_dataset(spark, str(good), manifest, banned=("synthetic",), root=str(tmp_path))
+    for wrong in ({"header": ["x"]}, {"bytes": 1}, {"sha256": "0"}):
+        with pytest.raises(V.Provenance):
+            V.require_dataset(spark, str(good), {"a.tsv": wrong}, banned=("synthetic",))
+    for folder, root in ((str(tmp_path / "synthetic_x"), None), (str(good), "/elsewhere"), (f"{good}/../data", None)):
+        with pytest.raises(V.Provenance):
+            V.require_dataset(spark, folder, {}, root=root)
+
+
+def test_slice_digest_and_assessment(spark):
+    import hashlib
+
+    ids = spark.createDataFrame([("S1-b",), ("S1-a",)], "s1 string")
+    assert SP.id_digest(ids).first()["digest"] == hashlib.sha256(b"S1-a\nS1-b").hexdigest()
+    truth, s1 = _pairs(spark, [("S1-a", "S2-1")]), ids.unionByName(spark.createDataFrame([("S1-c",)], "s1 string"))
+    row = E.assess(s1, truth, truth, truth, 5, ids, SP.id_digest(ids).first()["digest"]).first()
+    assert (row["n"], row["macro_f05"], row["true_matches_retrieved"]) == (2, 1.0, 1)
+    with pytest.raises(ValueError, match="digest"):
+        E.assess(s1, truth, truth, truth, 5, ids, "x")
+
+
+def test_exact_matches_of_a_frequent_name(spark):
+    """A chain's name pairs only what shares an address, or a country where one address is missing."""
+    cols = "name_norm string, addr_norm string, country_key string, source string, ord long"
+    rows = [("chain", f"{i} road", "us", "S2", i) for i in range(200)] + [("chain", "", "us", "S3", 1), ("chain", "", "", "S3", 2), ("", "x", "us", "S3", 3)]
+    t = spark.createDataFrame([(f"T{k}", *r) for k, r in enumerate(rows)], f"id string, {cols}")
+    s1 = spark.createDataFrame([("a", "chain", "7 road", "us", "S1", 0), ("b", "chain", "", "us", "S1", 1), ("c", "", "x", "us", "S1", 2)], f"s1 string, {cols}")
+    got = {(r["s1"], r["id"]) for r in R.exact_matches(s1, t).collect()}
+    assert got == {("a", "T7"), ("a", "T200")} | {("b", f"T{k}") for k in range(201)}
+    assert {r["id"] for r in R.exact_matches(s1, t, 5).collect()} == {f"T{k}" for k in range(5)}
+
+
+def test_models_learn_and_are_saved(spark, tmp_path):
+    rows = [(f"S1-{i}", f"S2-{i}", (i % 10) / 10, (i * 7 % 10) / 10, int(i % 10 >= 6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s1 string, id string, x double, y double, label int")
+    for train in (lambda d, f: D.train_sgd(d, f, epochs=200, batch=16, rate=0.5), D.train_logistic, lambda d, f: D.train_trees(d, f, trees=5, depth=2)):
+        model = train(df, ["x", "y"])
+        D.save_bundle(spark, model, str(tmp_path / "b"), {"variant": "v1", "features": ["x", "y"]})
+        loaded, facts = D.load_bundle(spark, str(tmp_path / "b"), variant="v1", features=["x", "y"])
+        got = D.probabilities(loaded, df).select("label", "prob").collect()
+        assert sum((r["prob"] >= 0.5) == bool(r["label"]) for r in got) >= 0.95 * len(got)
+        assert [r["prob"] for r in D.probabilities(model, df).collect()] == [r["prob"] for r in got]
+    with pytest.raises(D.BadBundle, match="variant"):
+        D.load_bundle(spark, str(tmp_path / "b"), variant="v2")
+
+
+def test_bootstrap_against_resampling(spark):
+    import numpy as np
+
+    d = np.random.default_rng(1).choice([-0.5, 0.0, 0.0, 0.25], 400)
+    got = E.paired_bootstrap(spark.createDataFrame([(float(x),) for x in d], "delta double"), 2000)
+    lot = np.random.default_rng(2)
+    means = [d[lot.integers(0, 400, 400)].mean() for _ in range(2000)]
+    assert abs(got["low"] - np.quantile(means, 0.025)) < 0.01 and abs(got["high"] - np.quantile(means, 0.975)) < 0.01
+    assert got["mean"] == pytest.approx(d.mean()) and (got["better"], got["worse"]) == (int((d > 0).sum()), int((d < 0).sum()))
+
+
 def test_bootstrap_of_a_constant(spark):
     got = E.paired_bootstrap(spark.createDataFrame([(0.5,)] * 20, "delta double"), 50)
     assert got["mean"] == got["low"] == got["high"] == 0.5 and got["better"] == 20
