@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from linkforge.llm.common import fresh, read_table
 
 #: Documents in the training sample, and the bytes that twice as many may have.
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 26
+SAMPLE, SAMPLE_BYTES = 1200, 1 << 27
 BITS = 15
 BUCKETS, DIM, EPOCHS, RATE = 1 << BITS, 16, 3, 0.5
 #: The share of good calibration texts that may be rejected, and the highest threshold it may lead to.
