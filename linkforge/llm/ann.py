@@ -205,24 +205,33 @@ def search(table: DataFrame, queries, k: int = K, recall: float = RECALL) -> Dat
 
     placed = checkpointed(vectors.mapInArrow(assign, "vec_id long, vec array<double>, leaf int"))
     leaves = _calibrated(placed, tree, queries, k, recall)
-    # One row for each leaf of the tree, whose size the sample bounds.
+    # One row for each leaf of the tree, whose number the sample bounds.
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     held = np.zeros(tree.leaves, np.int64)
     for r in sizes.collect():
         held[r["leaf"]] = r["n"]
+    bins, least = (np.cumsum(held) - held) // BIN, k + 1
+    blocks = np.maximum(1, -(-held // BIN))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query goes to a block of a bin once, with all the leaves that it visits there."""
         for b in batches:
-            lists = [shared.value.visit(v, leaves, held, k + 1) for v in _matrix(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "leaves"])
-
-    before = F.sum("n").over(Window.orderBy("leaf")) - F.col("n")
-    sizes = F.broadcast(sizes.select("leaf", F.floor(before / BIN).cast("int").alias("bin"), F.ceil(F.col("n") / BIN).cast("int").alias("blocks")))
-    homes = placed.join(sizes, "leaf").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.lit(0).alias("query"), F.col("vec_id").alias("id"), "vec", F.array("leaf").alias("leaves"))
-    asked = placed.filter(queries(F.col("vec_id"))).select("vec_id", "vec").mapInArrow(visit, "id long, vec array<double>, leaves array<int>")
-    # A query goes to a bin once, with all the leaves that it visits there.
-    asked = asked.select("id", "vec", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "bin", "id", "vec", "leaf").groupBy("bin", "block", "id").agg(F.any_value("vec").alias("vec"), F.collect_list("leaf").alias("leaves"))
+            at, places, lists = [], [], []
+            for k, v in enumerate(_matrix(b.column(1))):
+                mine: dict[tuple[int, int], list[int]] = {}
+                for leaf in shared.value.visit(v, leaves, held, least):
+                    for block in range(blocks[leaf]):
+                        mine.setdefault((int(bins[leaf]), block), []).append(leaf)
+                at += [k] * len(mine)
+                places += mine
+                lists += mine.values()
+            took = pa.array(at, pa.int64())
+            cols = [pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int32()), b.column(0).take(took), b.column(1).take(took), pa.array(lists, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["bin", "block", "id", "vec", "leaves"])
+
+    table_of = F.broadcast(spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(bins, blocks, strict=True))], "leaf int, bin int, blocks long"))
+    homes = placed.join(table_of, "leaf").select("bin", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), F.col("vec_id").alias("id"), "vec", F.array("leaf").alias("leaves"))
+    asked = placed.filter(queries(F.col("vec_id"))).select("vec_id", "vec").mapInArrow(visit, "bin int, block int, id long, vec array<double>, leaves array<int>")
     asked = asked.select("bin", "block", F.lit(1).alias("query"), "id", "vec", "leaves")
     rows = homes.unionByName(asked).repartition("bin", "block").sortWithinPartitions("bin", "block", "query")
     pairs = rows.mapInArrow(_search_bins(k, tree.leaves), "query_id long, vec_id long, score double")
