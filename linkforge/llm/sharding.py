@@ -48,17 +48,16 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of docs(doc_id, text).
 
-    Slots are gapless from 0 in a shard, by slice (doc_id modulo SLICES) and doc_id. The slices' first slots
-    come from counts of doc_id alone, a table of shards * SLICES rows at most, which bounds the broadcast; so
-    no task numbers more than one slice, and the texts are read once and never shuffled.
+    Slots are gapless from 0 in a shard, by slice (doc_id plus the text's checksum, modulo SLICES) and doc_id. The slices' first
+    slots come from counts, a table of shards * SLICES rows at most, which bounds the broadcast; so no task numbers more than
+    one slice, texts under one doc_id or under none are in slices of their own, and texts are never shuffled.
     """
-    key = F.col("doc_id").cast("long")
-    slice_ = F.pmod(F.coalesce(key, F.lit(0).cast("long")), F.lit(SLICES)).cast("int")
-    placed = docs.select(key.alias("doc_id"), slice_.alias("slice"), jump_shard(key, shards).alias("shard"), "text")
-    counts = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
+    key, raw = F.col("doc_id").cast("long"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    rows = docs.select(key.alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), jump_shard(key, shards).alias("shard"), jump_shard(key, shards + 1).alias("grown_shard"))
+    place = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(SLICES)) + F.col("text_crc32"), F.lit(SLICES)).cast("int")
+    rows = rows.withColumn("slice", place)
+    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     firsts = counts.select("shard", "slice", F.expr("sum(n) over (partition by shard order by slice rows between unbounded preceding and current row) - n").alias("first"))
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = placed.select("doc_id", "slice", "shard", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), jump_shard(key, shards + 1).alias("grown_shard"))
     inside = F.expr("row_number() over (partition by shard, slice order by doc_id, size, text_crc32) - 1")
     numbered = rows.withColumn("at", inside).join(F.broadcast(firsts), ["shard", "slice"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), "grown_shard")
@@ -107,7 +106,7 @@ WITH r AS (
   FROM r
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY ((doc_id % {SLICES}) + {SLICES}) % {SLICES}, doc_id, size, text_crc32)::bigint - 1 AS slot,
+       row_number() OVER (PARTITION BY shard ORDER BY ((coalesce(doc_id, 0) % {SLICES} + {SLICES}) % {SLICES} + text_crc32) % {SLICES}, doc_id, size, text_crc32)::bigint - 1 AS slot,
        grown_shard
 FROM p
 """

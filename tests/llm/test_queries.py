@@ -271,6 +271,18 @@ def test_warc_round_trip_of_hostile_pages(spark, tmp_path):
     assert all(got[i]["payload_digest"] == hashlib.sha256((h or "").encode()).hexdigest() and got[i]["payload_bytes"] == len((h or "").encode()) for i, _, h in rows)
 
 
+def test_bpe_of_unbroken_words_and_clashing_columns(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    texts = ["a" * 60_000, "xyzzy" * 8_000, "漢" * 3_000, None, "<|endoftext|>" * 50]
+    df = spark.createDataFrame([(i % 3, t, "x", [1]) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, token_ids array<int>")
+    want = sorted((i % 3, lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], list(r["token_ids"])) for r in bpe.encode_documents(df, with_ids=True).collect()) == want
+    kept = bpe._Words(bpe.vocabulary(bpe.default_path()))
+    assert kept["b" * 500] and "b" * 500 not in kept and kept["abc"] and "abc" in kept
+
+
 def test_chat_merges_runs_of_a_role(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "user", "d"), (1, 3, "user", "d"), (1, 4, None, None), (2, 0, "assistant", "x" * 300_000)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, turns string, formatted string")
