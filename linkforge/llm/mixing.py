@@ -31,8 +31,8 @@ PATTERN = (5.0, 2.0, 1.0)
 REPEAT = 3
 #: (time, weight) knots for each weight of the pattern: broad sources fade, small ones come late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75)))
-#: Hexadecimal digits of the digest that name a slice: 65536 slices of each source.
-SLICE_DIGITS = 4
+#: Hexadecimal digits of the digest that name a slice, and a group of slices: 65536 and 256 of each source.
+SLICE_DIGITS, GROUP_DIGITS = 4, 2
 
 
 def word_count(text: Column) -> Column:
@@ -86,8 +86,13 @@ def _placed(docs: DataFrame, whole: bool, pattern: tuple[float, ...], repeat: fl
     sums = checkpointed((_sized(docs) if whole else sized).groupBy("of", "slice").agg(F.any_value("source").alias("source"), F.sum("size").alias("n")))
     aims = targets(sums.select("source", F.col("n").alias("size")), pattern, repeat)
     aims = aims.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), "kind", "source_size", "target")
-    start = F.sum("n").over(Window.partitionBy("of").orderBy("slice")) - F.col("n")
-    places = sums.select("of", "slice", start.alias("start")).join(aims, "of")
+    # Slices are summed up in groups of their first digits, so that no task orders all slices of a source.
+    grouped = sums.withColumn("group", F.substring("slice", 1, GROUP_DIGITS))
+    whole_groups = grouped.groupBy("of", "group").agg(F.sum("n").alias("of_group"))
+    groups = whole_groups.select("of", "group", (F.sum("of_group").over(Window.partitionBy("of").orderBy("group")) - F.col("of_group")).alias("first"))
+    in_group = F.sum("n").over(Window.partitionBy("of", "group").orderBy("slice")) - F.col("n")
+    starts = grouped.select("of", "group", "slice", in_group.alias("in_group")).join(groups, ["of", "group"])
+    places = starts.select("of", "slice", (F.col("first") + F.col("in_group")).alias("start")).join(aims, "of")
     inside = Window.partitionBy("of", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sized.withColumn("upto", F.sum("size").over(inside)).join(places, ["of", "slice"])
     middle = F.col("start") + F.col("upto") - F.col("size") / 2
