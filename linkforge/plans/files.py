@@ -120,9 +120,9 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
     T.write_shards(results.filter("shard < 3"), folder, run)
     T.write_shards(results.filter("shard >= 3"), folder, run)
     T.write_shards(results.filter("shard = 4"), folder, V.run_hash({"policy": "another"}))
-    again = T.reusable_shards(spark, folder, run, results.schema).withColumn("reusable", F.lit(True))
+    again = T.reusable_shards(spark, folder, run, results.schema).withColumn("reusable", F.lit(1))
     counts = spark.read.parquet(f"{folder}/by_country").withColumn("shard", F.col("shard").cast("int"))
-    return counts.join(again.withColumn("shard", F.col("shard").cast("int")), "shard", "left").na.fill(False, ["reusable"])
+    return counts.join(again.withColumn("shard", F.col("shard").cast("int")), "shard", "left").na.fill(0, ["reusable"])
 
 
 def verified_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,7 @@ def model_bundle(spark: SparkSession, d: str) -> DataFrame:
     loaded, _ = D.load_bundle(spark, folder, variant="v1", cap=50, features=names)
     before, after = D.probabilities(model, rows), D.probabilities(loaded, rows)
     both = before.select("s1", "id", "label", F.col("prob").alias("was")).join(after.select("s1", "id", "prob"), ["s1", "id"])
-    return both.select("s1", "id", F.col("label").cast("long").alias("label"), ((F.col("was") == F.col("prob")) & F.col("prob").between(0, 1)).alias("same"))
+    return both.select("s1", "id", F.col("label").cast("long").alias("label"), ((F.col("was") == F.col("prob")) & F.col("prob").between(0, 1)).cast("int").alias("same"))
 
 
 def streamed_links(spark: SparkSession, d: str) -> DataFrame:
@@ -199,10 +199,10 @@ ORACLE_SQL: dict[str, str] = {
     "ids_file": Q.with_(Q.BASE, "SELECT entity_id, business_name FROM s WHERE s1 IN (SELECT s1 FROM truth)"),
     "result_lists": Q.with_(Q.LINKS, f"SELECT s.s1, {_IDS.format('links.id')} AS ids FROM s LEFT JOIN links USING (s1) GROUP BY s.s1"),
     "fetch_records": Q.with_(Q.BASE, "SELECT entity_id, business_name FROM t WHERE id IN (SELECT id FROM truth)"),
-    "shards": Q.with_(_RESULTS, "SELECT shard, country, count(*) AS n_s1, sum(len(matches))::bigint AS links, sum((len(matches) = 0)::int)::bigint AS empty_pred, sum(len(cands))::bigint AS cands, sum((len(cands) = 0)::int)::bigint AS zero_cand, shard <> 4 AS reusable FROM res GROUP BY shard, country"),
+    "shards": Q.with_(_RESULTS, "SELECT shard, country, count(*) AS n_s1, sum(len(matches))::bigint AS links, sum((len(matches) = 0)::int)::bigint AS empty_pred, sum(len(cands))::bigint AS cands, sum((len(cands) = 0)::int)::bigint AS zero_cand, (shard <> 4)::int AS reusable FROM res GROUP BY shard, country"),
     "verified_merge": Q.with_(_RESULTS, "SELECT s1, coalesce(array_to_string(list_sort(list_intersect(matches, cands)), '~'), '') AS ids, ord FROM res"),
     "ledger": Q.with_(Q.BASE, """SELECT 's1' AS experiment_id, (SELECT count(*) FROM s)::varchar AS avg_candidates, 'a "quoted" note' AS notes, '' AS fold UNION ALL SELECT 'targets', (SELECT count(*) FROM t)::varchar, 'a "quoted" note', ''"""),
-    "model_bundle": Q.with_(Q.PAIRS, "SELECT sc.s1, sc.id, count(truth.s1) AS label, true AS same FROM sc LEFT JOIN truth USING (s1, id) GROUP BY sc.s1, sc.id"),
+    "model_bundle": Q.with_(Q.PAIRS, "SELECT sc.s1, sc.id, count(truth.s1) AS label, 1 AS same FROM sc LEFT JOIN truth USING (s1, id) GROUP BY sc.s1, sc.id"),
     "streamed_links": Q.with_(Q.V1, "SELECT s1, id, score, rank FROM c"),
     "assessment": Q.with_(f"{Q.ENTITY_V1}, hh AS (SELECT count(*) AS n, count(c.id) AS got FROM truth LEFT JOIN c USING (s1, id))", "SELECT count(*) AS n, round(avg(f05), 6) AS macro_f05, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn, any_value(hh.n) AS true_matches_total, any_value(got) AS true_matches_retrieved FROM f, hh"),
 }

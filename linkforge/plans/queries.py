@@ -245,11 +245,11 @@ def fuzz_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features_core(spark: SparkSession, d: str) -> DataFrame:
-    return _features(FT.core_features(_pairs(spark, d, "v3b")), FT.CORE)
+    return _features(FT.core_features(_pairs(spark, d, "v2")), FT.CORE)
 
 
 def features_32(spark: SparkSession, d: str) -> DataFrame:
-    return _features(FT.competition_features(FT.core_features(_pairs(spark, d, "v4a"))), FT.FEATURES_32)
+    return _features(FT.competition_features(FT.core_features(_pairs(spark, d, "v3a"))), FT.FEATURES_32)
 
 
 def features_a(spark: SparkSession, d: str) -> DataFrame:
@@ -392,8 +392,8 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     s1, _, truth, links = _links(spark, d)
     a, b = E.per_entity(s1, truth, links), E.per_entity(s1, truth, D.threshold(scored_pairs(spark, d), 0.5))
     found = E.paired_bootstrap(a.select("s1", F.col("f05").alias("was")).join(b, "s1").select((F.col("f05") - F.col("was")).alias("delta")))
-    row = (round(found["mean"], 6), found["better"], found["worse"], found["low"] <= found["mean"] <= found["high"])
-    return spark.createDataFrame([row], "mean double, better long, worse long, inside boolean")
+    row = (round(found["mean"], 6), found["better"], found["worse"], int(found["low"] <= found["mean"] <= found["high"]))
+    return spark.createDataFrame([row], "mean double, better long, worse long, inside int")
 
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:

@@ -443,8 +443,8 @@ round(avg(regexp_matches(v, '[^\\x00-\\x7F]')::int), 6) AS non_ascii_rate, round
     "cands_b": with_(B, _RANKED),
     "tfidf_knn": with_(f"{_B_BASE}{_TFIDF}", "SELECT s1, id, round(similarity, 6) AS similarity, rank FROM knn"),
     "fuzz_features": with_(f"{_CORED(_V4(*_ALL))}", f"SELECT s1, id, {_ROUNDED({k: k for k in _CORE} | _COMPETING | _ROUTE_COLS | _EXTRA)} FROM core WINDOW w AS (PARTITION BY s1)"),
-    "features_32": with_(f"{_CORED(_V4('numtok'))}", f"SELECT s1, id, {_ROUNDED({k: k for k in _CORE} | _COMPETING | _ROUTE_COLS)} FROM core WINDOW w AS (PARTITION BY s1)"),
-    "features_core": with_(_V4(), f"SELECT s1, id, {_ROUNDED(_CORE)} FROM pe"),
+    "features_32": with_(_CORED(_pairs_with(_d(120, True, False, ()))), f"SELECT s1, id, {_ROUNDED({k: k for k in _CORE} | _COMPETING | _ROUTE_COLS)} FROM core WINDOW w AS (PARTITION BY s1)"),
+    "features_core": with_(_pairs_with(_d(120, False, False, ())), f"SELECT s1, id, {_ROUNDED(_CORE)} FROM pe"),
     "features_a": with_(_pairs_with(A), f"SELECT s1, id, {_ROUNDED(_FEATURES_A)} FROM pe"),
     "features_b": with_(_pairs_with(B), f"SELECT s1, id, {_ROUNDED(_FEATURES_B)} FROM pe"),
     "edit_measures": with_(_pairs_with(_d(120, False, False, ())), "SELECT s1, id, " + ", ".join(f"round({e}, 6) AS {side}_{k}" for side, x, empty in (("name", "n", "no_name"), ("addr", "a", "no_addr")) for k, e in (("ratio", f"{x}_ratio"), ("token_sort", _GUARD(f"{x}_sort", empty)), ("token_set", f"{x}_set"), ("partial", _GUARD(f"{x}_part", empty)), ("jaro_winkler", _GUARD(f"{x}_jw", empty)))) + " FROM pe"),
@@ -471,7 +471,7 @@ round(avg(regexp_matches(v, '[^\\x00-\\x7F]')::int), 6) AS non_ascii_rate, round
     "singleton_losses": with_(_AT_HALF, "SELECT count(*) FILTER (WHERE n_true = 0) AS singletons, count(*) FILTER (WHERE n_true = 0 AND fp > 0) AS false_merge, round(sum(CASE WHEN n_true = 0 THEN 1 - f05 ELSE 0.0::double END) / count(*), 6) AS macro_loss_share FROM f"),
     "rejected_quantiles": with_(PAIRS, "SELECT count(*) AS n, " + ", ".join(f"round(quantile_cont(prob, {q}), 6) AS q{i}" for i, q in enumerate((0.25, 0.5, 0.75, 0.9))) + " FROM sc JOIN truth USING (s1, id) WHERE prob < 0.9::double"),
     "false_profile": with_(_CORED(_pairs_with(V1)), f"SELECT round(avg((name_exact >= 1)::int), 6) AS name_exact, round(avg((name_token_sort >= 0.9::double)::int), 6) AS name_token_sort_ge_09, round(avg((addr_token_sort < 0.5::double)::int), 6) AS addr_token_sort_lt_05, round(avg(({_CLASH('nsa', 'nsb')} >= 1)::int), 6) AS num_conflict, round(avg(({_EXTRA['long_num_conflict']} >= 1)::int), 6) AS long_num_conflict, round(avg((country_equal >= 1)::int), 6) AS country_equal FROM core ANTI JOIN truth USING (s1, id) WHERE round({_V2_SCORE}, 6) >= 0.5::double"),
-    "bootstrap": with_(f"{_AT_HALF}, {_LINKS_CTE}, {_entity('truth', 'links').replace('e AS (', 'e2 AS (').replace('f AS (', 'f2 AS (').replace('FROM e)', 'FROM e2)')}", "SELECT round(avg(f.f05 - f2.f05), 6) AS mean, count(*) FILTER (WHERE round(f.f05 - f2.f05, 12) > 0) AS better, count(*) FILTER (WHERE round(f.f05 - f2.f05, 12) < 0) AS worse, true AS inside FROM f JOIN f2 USING (s1)"),
+    "bootstrap": with_(f"{_AT_HALF}, {_LINKS_CTE}, {_entity('truth', 'links').replace('e AS (', 'e2 AS (').replace('f AS (', 'f2 AS (').replace('FROM e)', 'FROM e2)')}", "SELECT round(avg(f.f05 - f2.f05), 6) AS mean, count(*) FILTER (WHERE round(f.f05 - f2.f05, 12) > 0) AS better, count(*) FILTER (WHERE round(f.f05 - f2.f05, 12) < 0) AS worse, 1 AS inside FROM f JOIN f2 USING (s1)"),
     "output_scores": with_(ENTITY, _PARTS),
     "audit": with_(BASE, "SELECT 'empty_name' AS rule, count(*) AS n FROM s WHERE trim(business_name) = '' UNION ALL SELECT 'empty_address', count(*) FROM s WHERE trim(business_address) = '' UNION ALL SELECT 'empty_country', count(*) FROM s WHERE trim(country) = '' UNION ALL SELECT 'repeated_entity', count(*) FROM (SELECT s1 FROM s GROUP BY s1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_target', count(*) FROM (SELECT id FROM truth GROUP BY id HAVING count(DISTINCT s1) > 1) UNION ALL SELECT unnest(['repeated_truth', 'unknown_truth', 'malformed_target', 'unknown_target']), 0"),
     "source_report": with_(BASE, "SELECT source, count(*) AS n_records, count(DISTINCT entity_id) AS n_unique_ids, count(*) - count(DISTINCT entity_id) AS n_duplicate_ids, count(DISTINCT country) AS n_countries FROM r0 GROUP BY source"),
