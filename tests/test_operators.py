@@ -201,3 +201,27 @@ def test_slices_by_target_script(spark):
     cands = _pairs(spark, [("S1-a", "S2-1"), ("S1-a", "S2-2")])
     got = {r["bucket"]: (r["truth_links"], r["retrieved"], r["recall"]) for r in E.slices(truth, cands, s1, t).collect() if r["dim"] == "target_script"}
     assert got == {"latin": (2, 1, 0.5), "non_latin": (1, 1, 1.0), "no_letters": (2, 0, 0.0)}
+
+
+def test_sequential_matcher_takes_all_rows_from_a_file(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(f"S1-{i}", f"S2-{i}", (i % 10) / 10, (i * 7 % 10) / 10, int(i % 10 >= 6)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s1 string, id string, x double, y double, label int").repartition(5)
+    held = df.orderBy(SP.draw("s1", "id"), "s1", "id").toPandas()
+    monkeypatch.setattr(D, "PIECE", 3)
+    # Nothing brings the whole table into the driver's memory.
+    monkeypatch.setattr(type(df), "toPandas", None)
+    monkeypatch.setattr(type(df), "collect", None)
+    with D.training_rows(df, ["x", "y"]) as (x, at):
+        assert isinstance(x, np.memmap) and np.array_equal(x[at], held[["x", "y", "label"]].to_numpy(float))
+    got, lot = D.train_sgd(df, ["x", "y"], epochs=3), np.random.default_rng(42)
+    x, y = held[["x", "y"]].to_numpy(float), held["label"].to_numpy(float)
+    w, b = lot.normal(0, 0.01, 2), 0.0
+    for _ in range(3):
+        at = lot.permutation(len(y))
+        for begin in range(0, len(y), 256):
+            k = at[begin : begin + 256]
+            off = 1 / (1 + np.exp(-np.clip(x[k] @ w + b, -500, 500))) - y[k]
+            w, b = w - 0.05 * (off @ x[k]) / len(k), b - 0.05 * off.mean()
+    assert got.weights == pytest.approx(tuple(w), abs=1e-12) and got.bias == pytest.approx(b, abs=1e-12)
