@@ -114,3 +114,17 @@ def test_model_queries_label_without_all_links_and_train_without_collecting(spar
     # The training rows are never one frame.
     monkeypatch.setattr(type(rows), "toPandas", None)
     assert files.model_bundle(spark, sf).agg({"same": "min"}).first()[0] == 1
+
+
+def test_tfidf_search_prunes_exactly_and_keeps_ties(spark, monkeypatch):
+    cols = "s1 string, name_norm string, addr_norm string"
+    t = [(f"S2-{n:03d}", f"{a} {b}", c) for n, (a, b, c) in enumerate([("red", "bolt", "")] * 40 + [(x, y, z) for x in ("red", "blue", "bold") for y in ("bolt", "ring") for z in ("", "12 oak st", "13 oak rd")])]
+    s = [(f"S1-{n}", *x[1:]) for n, x in enumerate(t[38:])] + [("S1-x", "", ""), ("S1-y", "qqq", "")]
+    s1, targets = spark.createDataFrame(s, cols), spark.createDataFrame(t, cols.replace("s1", "id", 1))
+    get = lambda: sorted(map(tuple, R.tfidf_knn(s1, targets, 5).select("s1", "rank", "id", "similarity").collect()))
+    want = get()
+    monkeypatch.setattr(R, "MOST_CELLS", 1)
+    monkeypatch.setattr(R, "PRODUCT_BYTES", 1)
+    monkeypatch.setattr(R, "LEAST_BLOCK", 3)
+    assert get() == want
+    assert [r[2] for r in want if r[0] == "S1-0"] == [f"S2-{n:03d}" for n in range(5)] and not [r for r in want if r[0] in ("S1-x", "S1-y")]
