@@ -128,3 +128,15 @@ def test_tfidf_search_prunes_exactly_and_keeps_ties(spark, monkeypatch):
     monkeypatch.setattr(R, "LEAST_BLOCK", 3)
     assert get() == want
     assert [r[2] for r in want if r[0] == "S1-0"] == [f"S2-{n:03d}" for n in range(5)] and not [r for r in want if r[0] in ("S1-x", "S1-y")]
+
+
+def test_matchers_train_on_stored_rows(spark, sf):
+    plans = []
+
+    def train(rows, names):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return P.D.Logistic(tuple(names), (0.5,) * len(names), 0.0)
+
+    got = P._model(train)(spark, sf)
+    # Passes read columns: no retrieval, join or ranking is repeated.
+    assert plans[0].strip().startswith("Relation") and "\n" not in plans[0].strip() and got.count() > 0
