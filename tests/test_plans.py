@@ -140,3 +140,25 @@ def test_matchers_train_on_stored_rows(spark, sf):
     got = P._model(train)(spark, sf)
     # Passes read columns: no retrieval, join or ranking is repeated.
     assert plans[0].strip().startswith("Relation") and "\n" not in plans[0].strip() and got.count() > 0
+
+
+def test_pairs_show_forms_and_measures_in_few_rows_at_a_time(spark, sf, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 50)
+    monkeypatch.setattr(R, "LEAST_PLACE", 5)
+    monkeypatch.setattr(R, "PLACE", 5)
+    s1, t, _ = P._sides(spark, sf, "b")
+    got = P._pairs(spark, sf, "v1", "b", FT.EDITS_B)
+    want = FT._measured(FT.pairs(P._found(spark, sf).drop("routes", "score"), s1, t), FT.EDITS_B)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(want.columns)).collect()))
+    assert rows(got) == rows(want)
+    # Pairs aren't exchanged once they have arisen.
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_gate_brings_only_pairs_above_the_threshold_together(spark):
+    rows = [("a", "x", 0.9), ("a", "y", 0.5), ("a", "z", 0.85), ("b", "x", 0.55), ("b", "y", 0.2), ("c", "x", 0.65), ("c", "y", 0.6)]
+    df = spark.createDataFrame(rows, "s1 string, id string, prob double")
+    got = P.D.gate_relative(df, 0.6, 0.7, 0.9)
+    assert {(r["s1"], r["id"]) for r in got.collect()} == {("a", "x"), ("a", "z")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("prob") > plan.index("Window") and "Filter" in plan.split("Window")[-1]
