@@ -106,3 +106,30 @@ def test_each_generation_has_its_own_forms(spark):
     assert forms["v1"][0][0] == "café and bar private limited" and forms["v2"][1][0] == "foo plc" and forms["v1"][1][0] == "foo com plc"
     assert forms["a"][0][1] == "12 north main road apartment 4" and forms["a"][1][0] == "foo com public" and forms["a"][2][0] == "strasse limited"
     assert forms["b"][0] == ("café and bar private limited", "12 n main road apartment 4", "india", "café and bar pvt ltd") and forms["b"][2][0] == "strasse llp"
+
+
+def test_windows_by_strands_and_token_sets_as_bits_equal_plain_measures(monkeypatch):
+    draw = random.Random(3)
+    text = lambda letters, n: "".join(draw.choices(letters, k=n))
+    wide = [chr(c) for c in range(200, 800)]
+    first = ["", *(text("ab c", draw.randint(0, 14)) for _ in range(60)), *(text("abcdé ", draw.randint(90, 150)) for _ in range(10)), *(text(wide, draw.randint(1, 60)) for _ in range(30))]
+    second = [*(text("ab c", draw.randint(0, 14)) for _ in range(60)), *(text("abcdé ", draw.randint(90, 150)) for _ in range(10)), *first[-30:], "  a  b ", " ".join(f"t{k}" for k in range(40))]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(first)), np.arange(len(second))))
+    partial, sets = E.partial_ratio(first, second, i, j), E.token_set_ratio(first, second, i, j)
+    some = np.random.default_rng(1).integers(0, len(i), 300)
+    assert all(abs(partial[k] - _partial(first[i[k]], second[j[k]])) < 1e-9 for k in some)
+    # Each way gives the same values to the last bit.
+    monkeypatch.setattr(E, "_best_by_strands", E._best_by_window)
+    monkeypatch.setattr(E, "_token_sets", E._token_sets_singly)
+    assert np.array_equal(E.partial_ratio(first, second, i, j), partial) and np.array_equal(E.token_set_ratio(first, second, i, j), sets)
+
+
+def test_set_sizes_and_tokens_of_one_text_equal_expressions(spark):
+    draw = random.Random(5)
+    rows = [tuple(" ".join(draw.choices(["foo", "the", "ab", "limited", "bar", "123", "12", "99999", "4567x", "١٢٣", ""], k=draw.randint(0, 9))) for _ in "ab") for _ in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = X.sig_tokens(F.col("a")), X.sig_tokens(F.col("b"))
+    want = [tuple(r) for r in df.select(a, X.nums(F.col("a")), F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))).collect()]
+    at = np.arange(len(rows))
+    sizes = S.set_sizes(*([X.sig_tokens_of(r[k]) for r in rows] for k in (0, 1)), at, at)
+    assert [(X.sig_tokens_of(x), X.nums_of(x), *(int(n[k]) for n in sizes)) for k, (x, _) in enumerate(rows)] == want

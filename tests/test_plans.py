@@ -155,6 +155,35 @@ def test_pairs_show_forms_and_measures_in_few_rows_at_a_time(spark, sf, monkeypa
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
 
 
+def test_fuzz_features_arise_with_pairs_and_equal_those_of_windows(spark, sf, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 50)
+    monkeypatch.setattr(R, "ROWS", 7)
+    got = P.fuzz_features(spark, sf)
+    # Nothing stands above the places: no window, join or further exchange of pairs.
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert not any(x in above for x in ("Window", "Join", "Aggregate", "Repartition"))
+    cols = "s1 string, source string, ord long, name_norm string, addr_norm string, country_key string"
+    names = ["red bolt limited", "red bolt", "bolt red red", "ab", "", "the blue company limited", "blue ring works of the north " * 4]
+    addrs = ["", "100 oak road 10035", "100 oak road 20042", "  ", "12 oak street", "100 100 oak 12345 \u0661\u0662\u0663", "oak road " * 20 + "77777"]
+    rows = [(f"{k % 3 + 1}-{k:03d}", k % 3 + 1, k, names[k % 7], addrs[k // 7 % 7], ("", "us", "france")[k % 5 % 3]) for k in range(147)]
+    s1 = spark.createDataFrame([(f"S{x[0]}", f"S{x[1]}", *x[2:]) for x in rows if x[1] == 1], cols)
+    t = spark.createDataFrame([(f"S{x[0]}", f"S{x[1]}", *x[2:]) for x in rows if x[1] > 1], cols.replace("s1 ", "id ", 1))
+    v = R.VARIANTS["v4all"]
+    want = P._features(FT.features_43(R.candidates(s1, t, v, records=(s1, t))), FT.FEATURES_43).collect()
+    told = R.candidates(s1, t, v, records=(s1, t), tell=(FT.FEATURES_43, FT.told_43))
+    assert told.columns == ["s1", "id", *FT.FEATURES_43] and len(want) > 1000
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want))
+
+
+def test_floats_are_rounded_as_decimals(spark):
+    import numpy as np
+
+    x = np.concatenate([np.random.default_rng(1).random(2000) * 3 - 1, np.arange(-300, 300) / 128, [1e-7, -1e-7, 5e-7, 0.0, 1 / 3]]).astype(np.float32)
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("round(x, 6)").collect()]
+    got = R.rounded(x).tolist()
+    assert got == want and not any(math.copysign(1, v) < 0 for v in got if v == 0)
+
+
 def test_gate_brings_only_pairs_above_the_threshold_together(spark):
     rows = [("a", "x", 0.9), ("a", "y", 0.5), ("a", "z", 0.85), ("b", "x", 0.55), ("b", "y", 0.2), ("c", "x", 0.65), ("c", "y", 0.6)]
     df = spark.createDataFrame(rows, "s1 string, id string, prob double")
